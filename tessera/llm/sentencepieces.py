@@ -81,14 +81,13 @@ class DoubleArray:
 
     def __init__(self, keys: list[tuple[bytes, int]]):
         keys = sorted(keys)
-        size = 1 << 16
-        self.base, self.check, self.value = (np.full(size, x, np.int32) for x in (0, -1, -1))
-        self.check[0] = -2
-        free, todo = 1, [(0, 0, 0, len(keys))]
+        base, check, value = [0] * 258, [-2] + [-1] * 257, [-1] * 258
+        # nodes with one child fill the gaps from `gap` on; the others are set from `fresh` on, which moves up with them
+        gap, fresh, todo = 257, 257, [(0, 0, 0, len(keys))]
         while todo:
             node, depth, lo, hi = todo.pop()
             if lo < hi and len(keys[lo][0]) == depth:
-                self.value[node] = keys[lo][1]
+                value[node] = keys[lo][1]
                 lo += 1
             if lo >= hi:
                 continue
@@ -97,26 +96,25 @@ class DoubleArray:
                 if k == hi or keys[k][0][depth] != keys[start][0][depth]:
                     groups.append((keys[start][0][depth] + 1, start, k))
                     start = k
-            codes = np.array([g[0] for g in groups])
-            base = max(free - int(codes[0]), 0)
+            first = groups[0][0]
+            at = max(gap, first) if len(groups) == 1 else max(fresh, first)
             while True:
-                if base + 600 >= size:
-                    grow = size
-                    self.base, self.check, self.value = (np.concatenate([a, np.full(grow, x, np.int32)]) for a, x in ((self.base, 0), (self.check, -1), (self.value, -1)))
-                    size *= 2
-                window = base + int(codes[0]) + np.flatnonzero(self.check[base + int(codes[0]) : base + 400 + int(codes[0])] == -1)
-                fits = (self.check[window[:, None] - codes[0] + codes[None, :]] == -1).all(1) if len(window) else np.empty(0, bool)
-                if fits.any():
-                    base = int(window[int(np.argmax(fits))]) - int(codes[0])
+                while len(check) < at + 600:
+                    base.append(0)
+                    check.append(-1)
+                    value.append(-1)
+                if all(check[at - first + code] == -1 for code, _, _ in groups):
                     break
-                base += 400
-            self.base[node] = base
+                at += 1
+            if len(groups) > 1:
+                fresh = max(fresh, at - 64)
+            base[node] = at - first
             for code, s, e in groups:
-                self.check[base + code] = node
-                todo.append((base + code, depth + 1, s, e))
-            while self.check[free] != -1:
-                free += 1
-        self.base, self.check, self.value = (np.concatenate([a, np.full(600, x, np.int32)]) for a, x in ((self.base, 0), (self.check, -1), (self.value, -1)))
+                check[at - first + code] = node
+                todo.append((at - first + code, depth + 1, s, e))
+            while gap < len(check) and check[gap] != -1:
+                gap += 1
+        self.base, self.check, self.value = (np.array(x + [fill] * 600, np.int32) for x, fill in ((base, 0), (check, -1), (value, -1)))
 
 
 class Pieces:
