@@ -27,7 +27,7 @@ END = b"\n"  # no word holds one
 M, S, ENDINGS = 1024, 32, 32
 KNOWN = 1 << 17
 EMBED, HIDDEN = 16, 24
-STEPS, WINDOWS, ROUNDS, BATCH, RATE = 32, 2, 2, 128, 0.01
+STEPS, WINDOWS, ROUNDS, BATCH, RATE = 32, 2, 2, 32, 0.01
 _CLASSES = M // S + ENDINGS
 _START = M + ENDINGS  # the input before the first word
 _FLUSH = 400_000

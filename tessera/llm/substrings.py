@@ -129,7 +129,7 @@ def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """h1, h2, text of the paragraphs in wanted (h1, h2), from the whole texts again; a bit filter of fixed size keeps
     most others from being moved, the join then leaves exactly those wanted."""
     slot = F.pmod(F.col("h1"), F.lit(FILTER))
-    bits = wanted.groupBy((slot / 32).cast("int").alias("w")).agg(F.bit_or(F.shiftleft(F.lit(1).cast("long"), F.pmod(slot, F.lit(32)).cast("int"))).alias("b")).toArrow()  # FILTER / 32 rows at most
+    bits = wanted.groupBy((slot / 32).cast("int").alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(slot, F.lit(32)).cast("int"))).alias("b")).toArrow()  # FILTER / 32 rows at most
     table = np.zeros(FILTER // 32, np.uint64)
     table[bits["w"].to_numpy()] = bits["b"].to_numpy().astype(np.uint64)
     shared = docs.sparkSession.sparkContext.broadcast(table)
