@@ -57,9 +57,9 @@ def convert_sign(v: Column, source: str, target: str) -> Column:
 def normalise(v: Column, low: Column | float, high: Column | float) -> Column:
     """0 to 1 between low and high; null where both are equal."""
     low, high = (x if isinstance(x, Column) else F.lit(float(x)) for x in (low, high))
-    return F.greatest(F.least(F.try_divide(v - low, high - low), F.lit(1.0)), F.lit(0.0))
+    return F.when(high != low, F.greatest(F.least(F.try_divide(v - low, high - low), F.lit(1.0)), F.lit(0.0)))
 
 
 def flatfield(v: Column, dark: Column, bright: Column, mean: Column) -> Column:
-    """Correction by a dark and a bright image; mean is that of bright - dark over the image."""
-    return F.greatest(F.least(F.try_divide((v - dark) * mean, bright - dark), F.lit(1.0)), F.lit(0.0))
+    """Correction by a dark and a bright image; mean is that of bright - dark over the image. Null where both are equal."""
+    return F.when(bright != dark, F.greatest(F.least(F.try_divide((v - dark) * mean, bright - dark), F.lit(1.0)), F.lit(0.0)))

@@ -177,7 +177,13 @@ def read(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
 def array_store(spark: SparkSession, path: str) -> DataFrame:
     """A chunked array folder of version 2 (.zarray beside chunks named by index; raw or zlib) as CHUNK. Chunks are files
     to Spark: one that isn't there holds the fill value and has no row."""
-    meta = json.loads("\n".join(r[0] for r in spark.read.text(f"{path}/.zarray").collect()))
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(f"{path}/.zarray")  # Spark's readers pass over names with a dot in front
+    stream = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(at)
+    try:
+        meta = json.loads(jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+    finally:
+        stream.close()
     codec = (meta.get("compressor") or {}).get("id")
     if codec not in (None, "zlib", "gzip"):
         raise ValueError(f"codec {codec} isn't installed")

@@ -93,7 +93,7 @@ def tiff_files(chunks: DataFrame, dtype: str = "uint8", description: str = "") -
     """image_id and the bytes of a pyramidal TIFF for each image; an image is put together in one task, so this is for
     images that a task's memory holds (write_tiles() has no such bound)."""
 
-    def run(key, table: pa.Table) -> pa.Table:
+    def run(key, table):
         rows = table.to_pylist()
         planes: dict[int, dict[int, list]] = {}
         for r in rows:
