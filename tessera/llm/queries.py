@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import covertree, licenses, mixing, perplexity, recurrent, secrets, sentencepieces, simhash, substrings, url_filter
+from . import covertree, licenses, mixing, oracles, perplexity, recurrent, secrets, sentencepieces, simhash, substrings, url_filter
 from .common import table
 
 
@@ -55,4 +55,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_url_filters": url_filter.ORACLE_SQL}
+    return oracles.sql()
