@@ -27,7 +27,8 @@ END = b"\n"  # no word holds one
 M, S, ENDINGS = 1024, 32, 32
 KNOWN = 1 << 17
 EMBED, HIDDEN = 16, 24
-STEPS, WINDOWS, ROUNDS, BATCH, RATE = 32, 2, 2, 32, 0.01
+STEPS, WINDOWS, ROUNDS, BATCH, RATE = 32, 2, 2, 64, 0.02
+GROUP = 2048  # documents scored side by side, those of like length together
 _CLASSES = M // S + ENDINGS
 _START = M + ENDINGS  # the input before the first word
 _FLUSH = 400_000
@@ -60,6 +61,12 @@ def count_words(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def tokens_of(text: bytes | None) -> list[bytes]:
+    found = (text or b"").lower().split()
+    found.append(END)
+    return found
+
+
 class Words(dict):
     """Numbers of known words by rank; any other word gets -1 - its ending's class and is noted in rare."""
 
@@ -79,10 +86,8 @@ class Words(dict):
         self.rare.append(word)
         return -1 - ending(word)
 
-    def numbers(self, text: bytes) -> np.ndarray:
-        found = text.lower().split()
-        found.append(END)
-        return np.fromiter(map(self.__getitem__, found), np.int64, len(found))
+    def numbers(self, tokens: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, tokens), np.int32, len(tokens))
 
     def inputs(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Input and class of each number."""
@@ -121,53 +126,64 @@ def unflat(x: np.ndarray) -> dict[str, np.ndarray]:
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * np.tanh(0.5 * x) + 0.5
+    """In place."""
+    np.negative(x, out=x)
+    np.minimum(x, 60, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
 
 
 def step(p: dict[str, np.ndarray], gates: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
     """gates: the inputs' share of all three gates. New state; update, reset, candidate and the state's share of it."""
     own = h @ p["u"]
-    zr = _sigmoid(gates[:, : 2 * HIDDEN] + own[:, : 2 * HIDDEN])
+    zr = gates[:, : 2 * HIDDEN] + own[:, : 2 * HIDDEN]
+    _sigmoid(zr)
     z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
     inner = own[:, 2 * HIDDEN :]
     n = np.tanh(gates[:, 2 * HIDDEN :] + r * inner)
     return n + z * (h - n), z, r, n, inner
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(1, keepdims=True)
-    return x - np.log(np.exp(x).sum(1, keepdims=True))
+def _softmax(x: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The targets' log probabilities, and all probabilities times their row's sum, in place; logits are clipped."""
+    np.clip(x, -60, 60, out=x)
+    chosen = x[np.arange(len(x)), target]
+    np.exp(x, out=x)
+    total = x @ np.ones(x.shape[1], x.dtype)
+    return chosen - np.log(total), total
 
 
 def outputs(p: dict[str, np.ndarray], h: np.ndarray, kind: np.ndarray, number: np.ndarray, grads: dict[str, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray | None]:
     """Log probability of each target's class and, for a frequent word, of the word in it. With grads: these are added for
     the sum of losses, and the gradient by h is returned."""
-    rows = np.arange(len(h))
-    lc = _log_softmax(h @ p["wc"] + p["bc"])
-    out = lc[rows, kind].astype(np.float64)
+    x = h @ p["wc"] + p["bc"]
+    out, total = _softmax(x, kind)
     dh = None
     if grads is not None:
-        d = np.exp(lc)
-        d[rows, kind] -= 1
-        grads["wc"] += h.T @ d
-        grads["bc"] += d.sum(0)
-        dh = d @ p["wc"].T
+        x /= total[:, None]
+        x[np.arange(len(h)), kind] -= 1
+        grads["wc"] += h.T @ x
+        grads["bc"] += x.sum(0)
+        dh = x @ p["wc"].T
     order = np.argsort(kind, kind="stable")
     cuts = np.searchsorted(kind[order], np.arange(M // S + 1))
+    sorted_h, target = h[order[: cuts[-1]]], number[order[: cuts[-1]]] % S
     for c in range(M // S):
-        at = order[cuts[c] : cuts[c + 1]]
-        if not len(at):
+        s, e = cuts[c], cuts[c + 1]
+        if s == e:
             continue
-        own = slice(c * S, (c + 1) * S)
-        lw, target = _log_softmax(h[at] @ p["ww"][own].T + p["bw"][own]), number[at] - c * S
-        out[at] += lw[np.arange(len(at)), target]
+        own, part = slice(c * S, (c + 1) * S), sorted_h[s:e]
+        x = part @ p["ww"][own].T + p["bw"][own]
+        logs, total = _softmax(x, target[s:e])
+        out[order[s:e]] += logs
         if grads is not None:
-            d = np.exp(lw)
-            d[np.arange(len(at)), target] -= 1
-            grads["ww"][own] += d.T @ h[at]
-            grads["bw"][own] += d.sum(0)
-            dh[at] += d @ p["ww"][own]
-    return out, dh
+            x /= total[:, None]
+            x[np.arange(e - s), target[s:e]] -= 1
+            grads["ww"][own] += x.T @ part
+            grads["bw"][own] += x.sum(0)
+            dh[order[s:e]] += x @ p["ww"][own]
+    return out.astype(np.float64), dh
 
 
 def backpropagate(p: dict[str, np.ndarray], seen: np.ndarray, kind: np.ndarray, number: np.ndarray, valid: np.ndarray, h: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray, float]:
@@ -189,7 +205,7 @@ def backpropagate(p: dict[str, np.ndarray], seen: np.ndarray, kind: np.ndarray,
     for k in ("wc", "bc", "ww", "bw"):
         grads[k] /= total
     back = np.zeros((rows, HIDDEN), np.float32)
-    dtable = np.zeros_like(table)
+    every_gate = np.empty((steps, rows, 3 * HIDDEN), table.dtype)
     for t in range(steps - 1, -1, -1):
         z, r, n, inner = inside[t]
         before = states[t]
@@ -197,11 +213,14 @@ def backpropagate(p: dict[str, np.ndarray], seen: np.ndarray, kind: np.ndarray,
         dn = back * (1 - z) * (1 - n * n)
         dz = back * (before - n) * z * (1 - z)
         dr = dn * inner * r * (1 - r)
-        gate = np.concatenate([dz, dr, dn], 1)
+        every_gate[t, :, :HIDDEN], every_gate[t, :, HIDDEN : 2 * HIDDEN], every_gate[t, :, 2 * HIDDEN :] = dz, dr, dn
         own = np.concatenate([dz, dr, dn * r], 1)
-        np.add.at(dtable, seen[t], gate)
         grads["u"] += before.T @ own
         back = back * z + own @ p["u"].T
+    order = np.argsort(seen.ravel(), kind="stable")
+    inputs, first = np.unique(seen.ravel()[order], return_index=True)
+    dtable = np.zeros_like(table)
+    dtable[inputs] = np.add.reduceat(every_gate.reshape(-1, 3 * HIDDEN)[order], first)
     grads["embed"] = dtable @ p["wx"].T
     grads["wx"] = p["embed"].T @ dtable
     grads["b"] = dtable.sum(0)
@@ -224,23 +243,23 @@ class Adam:
             self.p[k] -= (rate * self.m[k] / (np.sqrt(self.v[k]) + 1e-6)).astype(np.float32)
 
 
-def train_round(docs: DataFrame, words, start, rate: float) -> np.ndarray:
+def train_round(docs: DataFrame, words, start, number_of_round: int) -> np.ndarray:
     """Parameters after one round: each task's own, averaged by its tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: Words = words.value
-        model = Adam(unflat(start.value), rate)
+        model = Adam(unflat(start.value), RATE / (1 + 2 * number_of_round))
         tokens = 0
 
         def learn(runs: list[np.ndarray]) -> None:
             nonlocal tokens
             long = max(map(len, runs)) - 1
-            number = np.full((len(runs), long + 1), -1, np.int64)
+            number = np.full((len(runs), long + 1), -1, np.int32)
             for k, r in enumerate(runs):
                 number[k, : len(r)] = r
             seen, kind = own.inputs(number)
             for k, r in enumerate(runs):
-                if r[0] == np.iinfo(np.int64).min:
+                if r[0] == np.iinfo(np.int32).min:
                     seen[k, 0] = _START
             valid = np.arange(1, long + 1)[None, :] < np.fromiter(map(len, runs), np.int64)[:, None]
             h = np.zeros((len(runs), HIDDEN), np.float32)
@@ -253,11 +272,11 @@ def train_round(docs: DataFrame, words, start, rate: float) -> np.ndarray:
         waiting: list[np.ndarray] = []
         for b in batches:
             for t in utf8(b.column(0)):
-                n = own.numbers(t or b"")
+                n = tokens_of(t)
+                first = crc32(t or b"", number_of_round) % max(1, len(n) - WINDOWS * STEPS + 1)
+                run = own.numbers(n[max(first - 1, 0) : first + WINDOWS * STEPS])
                 own.rare.clear()
-                first = crc32(t or b"") % max(1, len(n) - WINDOWS * STEPS + 1)
-                run = n[max(first - 1, 0) : first + WINDOWS * STEPS]
-                waiting.append(run if first else np.concatenate(([np.iinfo(np.int64).min], run)))
+                waiting.append(run if first else np.concatenate((np.array([np.iinfo(np.int32).min], np.int32), run)))
                 if len(waiting) == BATCH:
                     learn(waiting)
                     waiting = []
@@ -280,15 +299,15 @@ def scores(p: dict[str, np.ndarray], own: Words, docs: list[np.ndarray]) -> np.n
     table = p["embed"] @ p["wx"] + p["b"]
     total = np.zeros(len(docs))
     order = np.argsort([-len(d) for d in docs], kind="stable")
-    for lo in range(0, len(order), 512):
-        part = order[lo : lo + 512]
+    for lo in range(0, len(order), GROUP):
+        part = order[lo : lo + GROUP]
         lengths = np.array([len(docs[k]) for k in part])
         h = np.zeros((len(part), HIDDEN), np.float32)
         last = np.full(len(part), _START)
         for s in range(0, int(lengths[0]), STEPS):
             rows = int((lengths > s).sum())
             n = min(STEPS, int(lengths[0]) - s)
-            number = np.full((rows, n), -1, np.int64)
+            number = np.full((rows, n), -1, np.int32)
             for k in range(rows):
                 x = docs[part[k]][s : s + n]
                 number[k, : len(x)] = x
@@ -338,36 +357,36 @@ def score_documents(docs: DataFrame, fold: int = 7, held: int = 2) -> DataFrame:
     words = Words(known, known_counts, of)
     shared, x = spark.sparkContext.broadcast(words), flat(initial(words)).astype(np.float64)
     for k in range(ROUNDS):
-        x = train_round(training, shared, spark.sparkContext.broadcast(x), RATE / (1 + 2 * k))
+        x = train_round(training, shared, spark.sparkContext.broadcast(x), k)
     model = spark.sparkContext.broadcast(x)
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, p = shared.value, unflat(model.value)
-        for whole in batches:
-            for lo in range(0, whole.num_rows, 2048):
-                b = whole.slice(lo, 2048)
-                numbers, rare = [], []
-                for t in utf8(b.column(2)):
-                    numbers.append(own.numbers(t or b""))
-                    rare.append(list(own.rare))
-                    own.rare.clear()
-                score = scores(p, own, numbers)
-                n_known, base = np.zeros(len(numbers), np.int64), np.zeros(len(numbers))
-                for k, n in enumerate(numbers):
-                    hit = n[n >= 0]
-                    n_known[k] = len(hit)
-                    if len(hit):
-                        base[k] = own.log_count[hit].sum()
-                    tail = hit[hit >= M]
-                    if len(tail):
-                        score[k] += (own.log_count[tail] + own.log_share[own.kind[tail] - M // S]).sum()
-                    if len(hit) < len(n):
-                        score[k] += own.log_share[-1 - n[n < 0]].sum()
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0), b.column(1), pa.array(np.fromiter(map(len, numbers), np.int64, len(numbers))), pa.array(n_known), pa.array(base), pa.array(score), pa.array(rare, pa.list_(pa.binary())).cast(pa.list_(pa.string()))],
-                    ["doc_id", "held_out", "n_tokens", "n_known", "base", "score", "rare"],
-                )
+        for b in batches:
+            if not b.num_rows:
+                continue
+            numbers, rare = [], []
+            for t in utf8(b.column(2)):
+                numbers.append(own.numbers(tokens_of(t)))
+                rare.append(list(own.rare))
+                own.rare.clear()
+            score = scores(p, own, numbers)
+            n_known, base = np.zeros(len(numbers), np.int64), np.zeros(len(numbers))
+            for k, n in enumerate(numbers):
+                hit = n[n >= 0]
+                n_known[k] = len(hit)
+                if len(hit):
+                    base[k] = own.log_count[hit].sum()
+                tail = hit[hit >= M]
+                if len(tail):
+                    score[k] += (own.log_count[tail] + own.log_share[own.kind[tail] - M // S]).sum()
+                if len(hit) < len(n):
+                    score[k] += own.log_share[-1 - n[n < 0]].sum()
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), b.column(1), pa.array(np.fromiter(map(len, numbers), np.int64, len(numbers))), pa.array(n_known), pa.array(base), pa.array(score), pa.array(rare, pa.list_(pa.binary())).cast(pa.list_(pa.string()))],
+                ["doc_id", "held_out", "n_tokens", "n_known", "base", "score", "rare"],
+            )
 
     local, _ = materialize(rows.mapInArrow(run, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, score double, rare array<string>").withColumn("_uid", F.monotonically_increasing_id()), "lm-local")
     rare = local.select("_uid", F.explode("rare").alias("w")).join(counts, F.col("w") == F.col("word"))
