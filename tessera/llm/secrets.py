@@ -9,6 +9,7 @@ import hashlib
 import lzma
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,14 +32,21 @@ MAX_LAYER = 1 << 26
 
 @dataclass(frozen=True)
 class Layer:
-    """A decoded text; its character i comes from code points starts[i] to ends[i] of the original. No lists: the original."""
+    """A decoded text; its character i comes from code points starts[i] to ends[i] of the original, or all of it from the
+    code points `whole` (what was compressed). None of these: the original."""
 
     text: str
     starts: list[int] | None = None
     ends: list[int] | None = None
+    whole: tuple[int, int] | None = None
 
     def span(self, s: int, e: int) -> tuple[int, int]:
-        return (s, e) if self.starts is None else (min(self.starts[s:e]), max(self.ends[s:e]))
+        return self.whole or ((s, e) if self.starts is None else (min(self.starts[s:e]), max(self.ends[s:e])))
+
+    def key(self) -> bytes:
+        """Equal for layers of equal text that come from the same places."""
+        places = repr(self.whole).encode() if self.starts is None else array("q", self.starts).tobytes() + array("q", self.ends).tobytes()
+        return hashlib.sha256(self.text.encode("utf-8", "surrogatepass")).digest() + hashlib.sha256(places).digest()
 
 
 def scan(text: str) -> list[tuple[int, int, int]]:
@@ -73,6 +81,8 @@ def _rewritten(layer: Layer, pattern: re.Pattern, decode) -> Layer | None:
     parts.append(text[last:])
     starts += range(last, len(text))
     ends += range(last + 1, len(text) + 1)
+    if layer.whole:
+        return Layer("".join(parts), whole=layer.whole)
     if layer.starts is not None:
         starts, ends = [layer.starts[s] for s in starts], [layer.ends[e - 1] for e in ends]
     return Layer("".join(parts), starts, ends)
@@ -158,23 +168,29 @@ def _opened(token: str) -> tuple[str | None, bool, int]:
         data, packed = inner, True
 
 
-def _layers(layer: Layer) -> tuple[list[Layer], int]:
-    """The layers directly inside, and how many stayed closed."""
+def _layers(layer: Layer, opened: dict[str, tuple[str | None, bool, int]]) -> tuple[list[Layer], int]:
+    """The layers directly inside, and how many stayed closed; opened keeps what each token holds."""
     text, found, closed = layer.text, [], 0
     if "%" in text and (x := _rewritten(layer, _PERCENT, _percent)):
         found.append(x)
     if ("\\" in text or "&#" in text) and (x := _rewritten(layer, _ESCAPE, _escape)):
         found.append(x)
     for m in _BASE64.finditer(text):
-        inner, packed, shut = _opened(m.group())
+        token = m.group()
+        if token not in opened:
+            opened[token] = _opened(token)
+        inner, packed, shut = opened[token]
         closed += shut
         if not inner:
             continue
+        if packed or layer.whole:  # from a compressed stream all comes from all
+            found.append(Layer(inner, whole=layer.span(m.start(), m.end())))
+            continue
         starts, ends, at = [], [], 0
         for c in inner:
             n = len(c.encode())
-            # a byte starts in sextet 8b / 6 and ends in sextet (8b + 7) / 6; from a compressed stream all comes from all
-            s, e = (0, len(m.group())) if packed else (at * 8 // 6, min(((at + n) * 8 - 1) // 6 + 1, len(m.group())))
+            # a byte starts in sextet 8b / 6 and ends in sextet (8b + 7) / 6
+            s, e = at * 8 // 6, min(((at + n) * 8 - 1) // 6 + 1, len(token))
             s, e = layer.span(m.start() + s, m.start() + e)
             starts.append(s)
             ends.append(e)
@@ -187,14 +203,16 @@ def find(text: str | None) -> tuple[list[tuple[int, int, int]], set[tuple[int, i
     """Base spans of a whole text, all spans, number of decoded layers, number of layers left closed."""
     text = text or ""
     base = scan(text)
-    every, seen, n, closed = set(base), {text}, 0, 0
+    every, seen, opened, n, closed = set(base), set(), {}, 0, 0
     work = [Layer(text)]
     while work:
-        inner, shut = _layers(work.pop())
+        inner, shut = _layers(work.pop(), opened)
         closed += shut
         for layer in inner:
-            if layer.text not in seen:  # a layer that came up before would only come up again
-                seen.add(layer.text)
+            # the same text at another place has spans of its own; from the same place it would only come up again, which
+            # ends cycles: a layer is shorter than the one around it unless it was compressed, and then it keeps its place
+            if (key := layer.key()) not in seen:
+                seen.add(key)
                 n += 1
                 for s, kind, e in scan(layer.text):
                     s, e = layer.span(s, e)
@@ -222,7 +240,7 @@ def scan_documents(docs: DataFrame, *keep: str) -> DataFrame:
     """The columns `keep` of every row with n_assign, n_access, n_hex, base_sha256, spans, n_layers and n_unopened.
 
     Each row is scanned on its own, whole; a null text counts as empty, repeated rows give repeated results and an empty
-    table none. Equal layers of one text are opened once, which also ends cycles."""
+    table none. A token is decoded once a text, and each of its places has its own spans and counts in n_layers."""
     rows = docs.select(*keep, F.col("text").cast("string").alias("_text"))
     schema = rows.drop("_text").schema
     for c, kind in (("n_assign", "long"), ("n_access", "long"), ("n_hex", "long"), ("base_sha256", "string"), ("spans", "string"), ("n_layers", "long"), ("n_unopened", "long")):

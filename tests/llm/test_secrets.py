@@ -78,6 +78,23 @@ def test_spans_are_exact_in_escapes():
     assert S.masked(text) == "ab [SECRET] gh"
 
 
+@pytest.mark.parametrize("pack", [lambda d: d, gzip.compress, lambda d: b64(d).encode(), lambda d: b64(gzip.compress(d)).encode()])
+def test_repeated_tokens_are_found_at_each_place(pack):
+    token = b64(pack(SECRET.encode()))
+    text = f"key {token}\nkey {token}\nother {token} end"
+    places = [m.start() for m in re.finditer(re.escape(token), text)]
+    spans = [(s, e) for s, k, e in S.find(text)[1] if k == 0]
+    assert all(any(at <= s < e <= at + len(token) for s, e in spans) for at in places)
+    assert S.masked(text).count("[SECRET]") == 3 and token not in S.masked(text)
+
+
+def test_repeated_tokens_inside_of_layers():
+    token = b64(SECRET.encode())
+    outer = b64(f"first {token} second {token}".encode())
+    spans = {(s, e) for s, k, e in S.find(f"{outer} {token}")[1] if k == 0}
+    assert len(spans) == 3 and len({e for _, e in spans}) == 3
+
+
 def test_cycles_end():
     assert S.find("%25" * 50)[2] <= 3
     data = b"x" * 40
