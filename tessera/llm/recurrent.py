@@ -4,8 +4,8 @@ Spark counts all words of all training documents. The M most frequent words form
 their class by a softmax on the state; all other words form classes by their ending, in which a word's share is its
 count + 1 (a word that wasn't counted has one share, too). The network sees frequent words by name and others by class.
 
-Training: every training document gives a run of windows (WINDOWS of STEPS tokens, at a place drawn from its text) that
-truncated backpropagation goes through with the state carried on; each task trains on its documents from the common
+Training: truncated backpropagation goes through every window of STEPS tokens of every training document, whole, with the
+state carried on; BATCH documents run side by side and the next one takes the place of one that ends. Each task trains on its documents from the common
 parameters, and Spark averages the results by tokens, ROUNDS times. Scoring goes through whole documents, the state
 carried from window to window. Counts of words outside the KNOWN most frequent are joined, not broadcast.
 """
@@ -27,7 +27,7 @@ END = b"\n"  # no word holds one
 M, S, ENDINGS = 1024, 32, 32
 KNOWN = 1 << 17
 EMBED, HIDDEN = 16, 24
-STEPS, WINDOWS, ROUNDS, BATCH, RATE = 32, 2, 2, 64, 0.02
+STEPS, ROUNDS, BATCH, RATE = 32, 2, 64, 0.02
 GROUP = 2048  # documents scored side by side, those of like length together
 _CLASSES = M // S + ENDINGS
 _START = M + ENDINGS  # the input before the first word
@@ -251,37 +251,38 @@ def train_round(docs: DataFrame, words, start, number_of_round: int) -> np.ndarr
         model = Adam(unflat(start.value), RATE / (1 + 2 * number_of_round))
         tokens = 0
 
-        def learn(runs: list[np.ndarray]) -> None:
-            nonlocal tokens
-            long = max(map(len, runs)) - 1
-            number = np.full((len(runs), long + 1), -1, np.int32)
-            for k, r in enumerate(runs):
-                number[k, : len(r)] = r
+        lanes: list[tuple[np.ndarray, int]] = []  # a document's numbers and how far it is
+        state = np.zeros((0, HIDDEN), np.float32)
+
+        def learn() -> None:
+            """The next window of each lane; lanes whose document ends are dropped."""
+            nonlocal lanes, state, tokens
+            left = np.array([len(r) - 1 - at for r, at in lanes])
+            long = min(STEPS, int(left.max()))
+            number = np.full((len(lanes), long + 1), -1, np.int32)
+            for k, (r, at) in enumerate(lanes):
+                part = r[at : at + long + 1]
+                number[k, : len(part)] = part
             seen, kind = own.inputs(number)
-            for k, r in enumerate(runs):
-                if r[0] == np.iinfo(np.int32).min:
-                    seen[k, 0] = _START
-            valid = np.arange(1, long + 1)[None, :] < np.fromiter(map(len, runs), np.int64)[:, None]
-            h = np.zeros((len(runs), HIDDEN), np.float32)
-            for s in range(0, long, STEPS):
-                e = min(s + STEPS, long)
-                grads, h, _ = backpropagate(model.p, seen[:, s:e].T, kind[:, s + 1 : e + 1].T, number[:, s + 1 : e + 1].T, valid[:, s:e].T, h)
-                model.update(grads)
+            seen[number[:, 0] == np.iinfo(np.int32).min, 0] = _START
+            valid = np.arange(long)[None, :] < left[:, None]
+            grads, state, _ = backpropagate(model.p, seen[:, :long].T, kind[:, 1:].T, number[:, 1:].T, valid.T, state)
+            model.update(grads)
             tokens += int(valid.sum())
+            more = left > long
+            lanes = [(r, at + long) for (r, at), go in zip(lanes, more, strict=True) if go]
+            state = state[more]
 
-        waiting: list[np.ndarray] = []
         for b in batches:
             for t in utf8(b.column(0)):
-                n = tokens_of(t)
-                first = crc32(t or b"", number_of_round) % max(1, len(n) - WINDOWS * STEPS + 1)
-                run = own.numbers(n[max(first - 1, 0) : first + WINDOWS * STEPS])
+                run = own.numbers(tokens_of(t))
                 own.rare.clear()
-                waiting.append(run if first else np.concatenate((np.array([np.iinfo(np.int32).min], np.int32), run)))
-                if len(waiting) == BATCH:
-                    learn(waiting)
-                    waiting = []
-        if waiting:
-            learn(waiting)
+                lanes.append((np.concatenate((np.array([np.iinfo(np.int32).min], np.int32), run)), 0))
+                state = np.concatenate((state, np.zeros((1, HIDDEN), np.float32)))
+                while len(lanes) == BATCH:
+                    learn()
+        while lanes:
+            learn()
         if tokens:
             x = np.append(flat(model.p).astype(np.float64), 1.0) * tokens
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(x), dtype=np.int32)), pa.array(x)], ["i", "x"])

@@ -4,6 +4,7 @@ from collections import Counter
 from zlib import crc32
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tessera.llm import recurrent as R
@@ -124,3 +125,39 @@ def test_odd_rows(spark):
     assert len(rows) == 6 and all(math.isfinite(r["score"]) and math.isfinite(r["base_score"]) for r in rows)
     assert [r["n_tokens"] for r in rows if r["doc_id"] in (None, 1)] == [1, 1]
     assert R.score_documents(docs.limit(0)).collect() == []
+
+
+def test_every_token_trains(spark, monkeypatch):
+    """Each token of each document is a target once a round, and the state goes on through a document only."""
+    texts = ["", None, "a b c", " ".join(f"w{k % 50}" for k in range(500)), "x " * 200]
+    docs = documents(spark, texts).coalesce(1)
+    words = R.Words([b"a", R.END], np.array([1, 5]), np.array([0.5, 0.5]))
+    real = R.backpropagate
+    seen = []
+
+    def spy(p, inputs, kind, number, valid, h):
+        seen.append((int(valid.sum()), [bool((h[k] == 0).all()) == bool(inputs[0, k] == R._START) for k in range(len(h))]))
+        return real(p, inputs, kind, number, valid, h)
+
+    monkeypatch.setattr(R, "backpropagate", spy)
+    monkeypatch.setattr(R, "BATCH", 2)
+
+    class Here:
+        """mapInArrow in this process."""
+
+        def __init__(self, df):
+            self.df = df
+
+        def select(self, *columns):
+            return Here(self.df.select(*columns))
+
+        def mapInArrow(self, run, schema):
+            return spark.createDataFrame(pa.Table.from_batches(run(iter(self.df.toArrow().to_batches()))).to_pandas(), schema)
+
+    class Value:
+        def __init__(self, value):
+            self.value = value
+
+    R.train_round(Here(docs), Value(words), Value(R.flat(R.initial(words))), 0)
+    assert sum(n for n, _ in seen) == sum(len(R.tokens_of(t and t.encode())) for t in texts)
+    assert all(all(same) for _, same in seen)
