@@ -41,13 +41,27 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
-def connected(links: DataFrame) -> DataFrame:
+#: Links up to which one task joins all of them (16 bytes each); beyond, rounds over the whole table do.
+FEW = 1 << 16
+
+
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    parts = [b for b in batches if b.num_rows]
+    if parts:
+        yield from _contract(pa.Table.from_batches(parts).combine_chunks().to_batches())
+
+
+def connected(links: DataFrame, few: int | None = None) -> DataFrame:
     """links: two long columns (any names, either order, repeats allowed). Returns node, component (the smallest node it
     reaches) for every node that stands in a link to another; written tables cut the lineage after each round."""
     a, b = links.columns
     edges = links.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).where("a <> b").mapInArrow(_contract, "u long, v long").distinct()
     edges, path = materialize(edges, "links")
     before = _state(edges)
+    if 0 < before[0] <= (FEW if few is None else few):
+        after, new = materialize(edges.coalesce(1).mapInArrow(_whole, "u long, v long"), "links")
+        release(path)
+        edges, before = after, (0,)
     while before[0]:
         after, new = materialize(_round(edges), "links")
         release(path)

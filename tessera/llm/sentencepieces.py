@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import utf8
+from .common import pieces, small_batches, utf8
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁".encode()
@@ -25,6 +25,8 @@ MARK = "▁".encode()
 LITERAL = 0xFF
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 CACHE = 300_000
+#: Cells of the tables of units that are segmented side by side, 12 bytes each.
+TABLE = 1 << 21
 _UNK, _PENALTY = -1, 10.0
 
 
@@ -150,8 +152,9 @@ class Pieces:
         for k, u in enumerate(ready):
             by.setdefault(len(u), []).append(k)
         for n, at in by.items():
-            for lo in range(0, len(at), 1 << 15):
-                part = at[lo : lo + (1 << 15)]
+            step = max(1, TABLE // (n + 1))
+            for lo in range(0, len(at), step):
+                part = at[lo : lo + step]
                 for k, ids in zip(part, self._alone([ready[k] for k in part]) if len(part) < 3 and n > 24 else self._many([ready[k] for k in part], n), strict=True):
                     out[k] = ids
         return out
@@ -270,25 +273,24 @@ def encode_documents(docs: DataFrame, *keep: str, model: str = MODEL) -> DataFra
 
     A null text gives null ids, 0 tokens and true; an empty one empty ids. Rows are encoded each on its own. The model
     file is read on the driver and broadcast; its size doesn't depend on the data."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(load(model))
     rows = docs.select(*keep, F.col("text").cast("string").alias("_text"))
     schema = rows.drop("_text").schema.add("ids", T.ArrayType(T.IntegerType())).add("n_tokens", "long").add("n_byte_tokens", "long").add("round_trip", "boolean")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = shared.value
-        is_byte = np.zeros(len(pieces.text), bool)
-        is_byte[pieces.bytes] = True
-        for whole in batches:
-            for lo in range(0, whole.num_rows, 1000):
-                b = whole.slice(lo, 1000)
-                texts = utf8(b.column(b.num_columns - 1))
-                found = pieces.encode([t or b"" for t in texts])
-                flat = np.frombuffer(b"".join(found), np.int32)
-                n = np.fromiter((len(x) // 4 for x in found), np.int64, len(found))
-                ends = np.concatenate(([0], np.cumsum(n)))
-                bytewise = np.concatenate(([0], np.cumsum(is_byte[flat])))
-                ok = [pieces.decode(flat[s:e].tolist()) == (t or b"") for t, s, e in zip(texts, ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
-                ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat), mask=pa.array([t is None for t in texts]))
-                yield pa.RecordBatch.from_arrays([*b.columns[:-1], ids, pa.array(n), pa.array(bytewise[ends[1:]] - bytewise[ends[:-1]]), pa.array(ok, pa.bool_())], names=schema.names)
+        coder: Pieces = shared.value
+        is_byte = np.zeros(len(coder.text), bool)
+        is_byte[coder.bytes] = True
+        for b in pieces(batches):
+            texts = utf8(b.column(b.num_columns - 1))
+            found = coder.encode([t or b"" for t in texts])
+            flat = np.frombuffer(b"".join(found), np.int32)
+            n = np.fromiter((len(x) // 4 for x in found), np.int64, len(found))
+            ends = np.concatenate(([0], np.cumsum(n)))
+            bytewise = np.concatenate(([0], np.cumsum(is_byte[flat])))
+            ok = [coder.decode(flat[s:e].tolist()) == (t or b"") for t, s, e in zip(texts, ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat), mask=pa.array([t is None for t in texts]))
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], ids, pa.array(n), pa.array(bytewise[ends[1:]] - bytewise[ends[:-1]]), pa.array(ok, pa.bool_())], names=schema.names)
 
     return rows.mapInArrow(run, schema)

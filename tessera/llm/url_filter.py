@@ -51,11 +51,18 @@ class RuleIndex:
     """Rules by their rarest token; counts: how many urls hold a token (absent: none, the rarest)."""
 
     def __init__(self, rules: list[Rule], counts: dict[bytes, int]):
-        self.by: dict[bytes, list[tuple[Rule, re.Pattern]]] = {}
-        self.rest: list[tuple[Rule, re.Pattern]] = []
+        self.by: dict[bytes, list[Rule]] = {}
+        self.rest: list[Rule] = []
+        self._compiled: dict[str, re.Pattern] = {}
         for rule in rules:
             slot = self.by.setdefault(min(rule.tokens, key=lambda t: (counts.get(t, 0), t)), []) if rule.tokens else self.rest
-            slot.append((rule, re.compile(rule.regex, re.DOTALL)))
+            slot.append(rule)
+
+    def regex(self, rule: Rule) -> re.Pattern:
+        """Compiled when the rule is first a candidate."""
+        if (found := self._compiled.get(rule.regex)) is None:
+            found = self._compiled[rule.regex] = re.compile(rule.regex, re.DOTALL)
+        return found
 
     def judge(self, url: str | None, default: str = "allow") -> tuple[str, str, str | None, str, int]:
         """host, path, rule, verdict, number of rules whose regular expression ran."""
@@ -66,11 +73,11 @@ class RuleIndex:
         for token in set(_TOKEN.findall(low.encode("utf-8", "surrogatepass"))):
             found += self.by.get(token, ())
         named = pattern = None
-        for rule, regex in found:
+        for rule in found:
             if rule.name is not None:
-                if m and (named is None or rule.length > named.length) and regex.match(host + path):
+                if m and (named is None or rule.length > named.length) and self.regex(rule).match(host + path):
                     named = rule
-            elif (pattern is None or (rule.length, rule.verdict) > (pattern.length, pattern.verdict)) and regex.search(low):
+            elif (pattern is None or (rule.length, rule.verdict) > (pattern.length, pattern.verdict)) and self.regex(rule).search(low):
                 pattern = rule
         best = named or pattern
         return host, path, named.name if named else None, best.verdict if best else default, len(found)
@@ -95,11 +102,12 @@ def filter_urls(pages: DataFrame, rules: list[Rule] | None = None, key: str = "p
     null url or one without :// has an empty host and path, and patterns still look at it. Rows are judged each on its
     own, so repeated rows give repeated results and an empty table none."""
     rules = default_rules() if rules is None else rules
-    counts = token_counts(pages, rules, url)
+    # its size is that of the rules, which don't grow with the pages
+    shared = pages.sparkSession.sparkContext.broadcast(RuleIndex(rules, token_counts(pages, rules, url)))
     kind = pages.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = RuleIndex(rules, counts)
+        index = shared.value
         for b in batches:
             host, path, rule, verdict, n = ([*x] for x in zip(*map(index.judge, b.column(1).to_pylist()), strict=True)) if b.num_rows else ([],) * 5
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(host, pa.string()), pa.array(path, pa.string()), pa.array(rule, pa.string()), pa.array(verdict, pa.string()), pa.array(n, pa.int64())], ["key", "host", "path", "rule", "verdict", "n_candidates"])
