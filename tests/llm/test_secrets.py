@@ -103,6 +103,73 @@ def test_cycles_end():
     S.find(b64(data))
 
 
+def wrapped_lines(text, n=76, end="\n"):
+    return end.join(text[k : k + n] for k in range(0, len(text), n))
+
+
+LONG = "some lines of a key file before " * 9 + SECRET + " and many others after it " * 9
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n", "\n    ", "\\n"])
+@pytest.mark.parametrize("pack", [lambda d: d, gzip.compress])
+def test_tokens_wrapped_in_lines(pack, end):
+    text = f"-----BEGIN\n{wrapped_lines(b64(pack(LONG.encode())), 64, end)}\nEND of it"
+    assert 0 in {k for _, k, _ in S.find(text)[1]} and not S.scan(text)
+    s, _, e = next(x for x in S.find(text)[1] if x[1] == 0)
+    assert 10 < s < e <= len(text) - 9
+
+
+@pytest.mark.parametrize("glue", ["get/", "a/", "v1-", "path/to/", "x_y/", "z"])
+@pytest.mark.parametrize("pack", [lambda d: d, gzip.compress, zlib.compress])
+def test_tokens_glued_to_other_text(pack, glue):
+    text = f"GET {glue}{b64(pack(LONG.encode()))} done"
+    found = {(s, e) for s, k, e in S.find(text)[1] if k == 0}
+    assert found and all(4 <= s < e <= len(text) - 5 for s, e in found)
+
+
+def test_broken_bytes_do_not_hide_the_rest():
+    for text in ("%FF%74%6F%6B%65%6E%3Dabcdef%80x", "\\ud800\\u0074\\u006f\\u006b\\u0065\\u006e\\u003dabcdef", b64(b"\xff\x00\x80" + SECRET.encode() + b"\xfe\xff")):
+        assert 0 in {k for _, k, _ in S.find(f"a {text} b")[1]}, text
+    assert S.find("%FF%FE")[2] == 0
+
+
+@pytest.mark.parametrize("pack", [gzip.compress, __import__("bz2").compress, __import__("lzma").compress, __import__("zstandard").compress])
+def test_large_layers_are_streamed(pack):
+    """A secret at the very end of 64 MB is found in little memory, as are one at each border of pieces."""
+    import resource
+
+    data = bytearray(b"many words and lines\n" * (3 << 20))
+    data += SECRET.encode()
+    token = b64(pack(bytes(data)))
+    del data
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    _, every, _, closed = S.find(f"x {token} y")
+    assert {k for _, k, _ in every} == {0} and not closed
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 300_000
+
+
+def test_pieces_overlap(monkeypatch):
+    monkeypatch.setattr(S, "PIECE", 64)
+    monkeypatch.setattr(S, "OVERLAP", 32)
+    for n in range(40, 140):
+        text = ("w " * n)[:n] + " token = abcdef123456 " + "v " * 60
+        assert 0 in {k for _, k, _ in S.find(b64(gzip.compress(text.encode())))[1]}, n
+
+
+def test_layers_at_random():
+    """Whatever is wrapped around a secret, its span lies where it was put and nothing else is found."""
+    rng = np.random.default_rng(9)
+    wraps = [lambda t: urllib.parse.quote(t, safe=""), lambda t: "".join(f"\\u{ord(c):04x}" for c in t), lambda t: b64(t.encode()), lambda t: b64(gzip.compress(t.encode())), lambda t: b64(zlib.compress(t.encode())), lambda t: "".join(f"&#x{ord(c):x};" for c in t)]
+    for _ in range(200):
+        text = SECRET
+        for k in rng.integers(0, len(wraps), rng.integers(1, 4)):
+            text = wraps[k](text)
+        left, right = ("é some words " * int(rng.integers(0, 4)) for _ in range(2))
+        whole = f"{left} {text} {right}"
+        found = {(s, e) for s, k, e in S.find(whole)[1] if k == 0}
+        assert found and all(len(left) < s < e <= len(left) + 1 + len(text) for s, e in found), whole
+
+
 def test_words_are_left_alone():
     text = "thtionertionanthe andreouinghationst " * 20
     assert S.find(text)[1] == set() and S.masked(text) == text
