@@ -15,9 +15,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
-from .common import materialize, numpy_components, release, utf8
+from .common import materialize, numpy_components, pieces, small_batches, utf8
 from .components import connected
 
 SHINGLE = 3
@@ -46,15 +47,15 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(ones * 2 > len(h), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, *keep: str) -> DataFrame:
-    """The columns `keep` and _fp (the fingerprint's 64 bits as a long)."""
-    rows = docs.select(*keep, F.col("text").cast("string").alias("_text"))
-    schema = rows.drop("_text").schema.add("_fp", "long")
+def fingerprints(docs: DataFrame, *keep: str, text: str = "text") -> DataFrame:
+    """The columns `keep` and _fp (the fingerprint's 64 bits as a long). A text that is kept goes through Python once."""
+    rows = docs.select(*keep, *([] if text in keep else [F.col(text).cast("string")]))
+    at, schema = rows.columns.index(text), T.StructType([f for f in rows.schema if f.name != text or text in keep]).add("_fp", "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            fp = np.array([fingerprint(t) for t in utf8(b.column(b.num_columns - 1))], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(fp)], names=schema.names)
+        for b in pieces(batches):
+            fp = np.array([fingerprint(t) for t in utf8(b.column(at))], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(schema) - 1], pa.array(fp)], names=schema.names)
 
     return rows.mapInArrow(run, schema)
 
@@ -194,20 +195,26 @@ def links(fps: DataFrame, reach: int = BITS) -> DataFrame:
     return dealt.repartition("leaf", "block").sortWithinPartitions("leaf", "block", "visits").mapInArrow(search, "a long, b long")
 
 
+def _grouped(docs: DataFrame, *keep: str, text: str, key: str, reach: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """rows (keep, key, _fp, _uid), the group's first row (first: none, id, uid) by fingerprint and by group."""
+    small_batches(docs.sparkSession)
+    rows, _ = materialize(fingerprints(docs, *dict.fromkeys((*keep, key)), text=text).withColumn("_uid", F.monotonically_increasing_id()), "simhash")
+    who = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("id"), F.col("_uid").alias("uid"))
+    classes, _ = materialize(rows.groupBy(F.col("_fp").alias("fp")).agg(F.min(who).alias("who")), "fingerprints")
+    found = connected(links(classes.select("fp"), reach))
+    roots = classes.join(found, F.col("fp") == F.col("node"), "left").select("fp", "who", F.coalesce("component", "fp").alias("root"))
+    first = roots.groupBy(F.col("root").alias("r")).agg(F.min("who").alias("first"))
+    return rows, roots.join(first, F.col("root") == F.col("r")).select("fp", "first"), first
+
+
 def near_duplicates(docs: DataFrame, *keep: str, reach: int = BITS) -> DataFrame:
     """The columns `keep` of all documents with _fp, _component (smallest doc_id that links reach) and _first (true for
     one row of each group: the one of smallest doc_id).
 
     A null text has fingerprint 0 like an empty one. Rows with a null id take part and come last in a group's order; a
     group of nulls alone has a null component. Rows that repeat are copies of each other. An empty table gives none."""
-    rows, path = materialize(fingerprints(docs.withColumn("_id", F.col("doc_id")), "_id", *keep).withColumn("_uid", F.monotonically_increasing_id()), "simhash")
-    who = F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_uid").alias("uid"))
-    classes, _ = materialize(rows.groupBy(F.col("_fp").alias("fp")).agg(F.min(who).alias("who")), "fingerprints")
-    found = connected(links(classes.select("fp"), reach))
-    roots = classes.join(found, F.col("fp") == F.col("node"), "left").select("fp", "who", F.coalesce("component", "fp").alias("root"))
-    first = roots.groupBy(F.col("root").alias("r")).agg(F.min("who").alias("first"))
-    of = roots.join(first, F.col("root") == F.col("r")).select("fp", "first")
-    return rows.join(of, F.col("_fp") == F.col("fp")).withColumn("_component", F.col("first.id")).withColumn("_first", F.col("_uid") == F.col("first.uid")).drop("fp", "first", "_uid", "_id")
+    rows, of, _ = _grouped(docs, *keep, text="text", key="doc_id", reach=reach)
+    return rows.join(of, F.col("_fp") == F.col("fp")).withColumn("_component", F.col("first.id")).withColumn("_first", F.col("_uid") == F.col("first.uid")).select(*keep, "_fp", "_component", "_first")
 
 
 def simhash_query(docs: DataFrame) -> DataFrame:
@@ -215,7 +222,12 @@ def simhash_query(docs: DataFrame) -> DataFrame:
 
 
 def distinct_documents(docs: DataFrame) -> DataFrame:
-    """docs' own columns: one document of each group of near copies."""
+    """docs' own columns: one document of each group of near copies, the one of smallest id (null ids come last; of equal
+    ids the first row). Null and empty texts are copies of each other; an empty table stays one. Groups are found from
+    keys and fingerprints; texts move once, by the number of their row, so that a large group is no hot key."""
     names = docs.columns
-    rows = near_duplicates(docs.select(F.struct(*names).alias("_row"), "doc_id", "text"), "_row")
-    return rows.where("_first").select(*[F.col(f"_row.`{c}`").alias(c) for c in names])
+    own = [f"_c{k}" for k in range(len(names))]
+    text, key = own[names.index("text")], own[names.index("doc_id")]
+    rows, _, first = _grouped(docs.toDF(*own).withColumn(text, F.col(text).cast("string")), *own, text=text, key=key, reach=BITS)
+    kept = rows.join(first.select(F.col("first.uid").alias("_kept")), F.col("_uid") == F.col("_kept"), "left_semi")
+    return kept.select(*[F.col(c).alias(n) for c, n in zip(own, names, strict=True)])
