@@ -5,33 +5,36 @@ their class by a softmax on the state; all other words form classes by their end
 count + 1 (a word that wasn't counted has one share, too). The network sees frequent words by name and others by class.
 
 Training: truncated backpropagation goes through every window of STEPS tokens of every training document, whole, with the
-state carried on; BATCH documents run side by side and the next one takes the place of one that ends. Each task trains on its documents from the common
-parameters, and Spark averages the results by tokens, ROUNDS times. Scoring goes through whole documents, the state
-carried from window to window. Counts of words outside the KNOWN most frequent are joined, not broadcast.
+state carried on; documents run side by side in lanes and the next one takes the place of one that ends. Each task trains
+on its documents from the common parameters and Spark averages the results by tokens, ROUNDS times an epoch, each time over
+another part of the documents. Scoring goes through whole documents in lanes, too. Counts of words outside the KNOWN most
+frequent are joined, not broadcast. Texts reach Python in small pieces, so no buffer grows with a partition.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, utf8
+from .common import materialize, pieces, small_batches, utf8
 
 END = b"\n"  # no word holds one
 M, S, ENDINGS = 1024, 32, 32
 KNOWN = 1 << 17
 EMBED, HIDDEN = 16, 24
-STEPS, ROUNDS, BATCH, RATE = 32, 2, 64, 0.02
-GROUP = 2048  # documents scored side by side, those of like length together
+STEPS, ROUNDS, RATE = 32, 2, 0.02
+#: Lanes of training: FIRST at the start, one more with each step, so that little data has many steps; lanes of scoring.
+FIRST, BATCH, GROUP = 32, 256, 512
+CHUNK = 2048  # rows of outputs at once, which the cache holds
 _CLASSES = M // S + ENDINGS
 _START = M + ENDINGS  # the input before the first word
-_FLUSH = 400_000
+_FLUSH = 1 << 17
 
 
 def ending(word: bytes) -> int:
@@ -39,24 +42,28 @@ def ending(word: bytes) -> int:
 
 
 def count_words(docs: DataFrame) -> DataFrame:
-    """word, n over all whole texts, each with one END."""
+    """word, n over all whole texts, each with one END. A task holds about _FLUSH words at most."""
+    end = END.decode()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: Counter[bytes] = Counter()
-
-        def out() -> pa.RecordBatch:
-            rows = pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()).cast(pa.string()), pa.array(list(found.values()), pa.int64())], ["word", "n"])
-            found.clear()
-            return rows
+    def summed(parts: list[pa.Table]) -> pa.Table:
+        return pa.concat_tables(parts).group_by("word").aggregate([("n", "sum")]).rename_columns(["word", "n"])
 
-        for b in batches:
-            for t in utf8(b.column(0)):
-                found.update((t or b"").lower().split())
-                if len(found) > _FLUSH:
-                    yield out()
-            found[END] += b.num_rows
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: list[pa.Table] = []
+        waiting = 0
+        for b in pieces(batches):
+            words = pc.ascii_split_whitespace(pc.ascii_lower(b.column(0).fill_null(""))).flatten()
+            counts = words.filter(pc.not_equal(words, "")).value_counts()
+            found.append(pa.table({"word": pa.concat_arrays([counts.field(0), pa.array([end])]), "n": pa.concat_arrays([counts.field(1), pa.array([b.num_rows])])}))
+            waiting += len(counts)
+            if waiting > _FLUSH:
+                found = [summed(found)]
+                waiting = found[0].num_rows
+                if waiting > _FLUSH // 2:
+                    yield from found[0].to_batches()
+                    found, waiting = [], 0
         if found:
-            yield out()
+            yield from summed(found).to_batches()
 
     return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -97,6 +104,8 @@ class Words(dict):
         return np.where(numbers >= 0, self.seen_as[known], M - 1 - numbers), np.where(numbers >= 0, self.kind[known], M // S - 1 - numbers)
 
 
+#: The largest output weights and biases: 24 states of at most 1 give logits of at most 24 * 2 + 30.
+LIMITS = {"wc": 2.0, "bc": 30.0, "ww": 2.0, "bw": 30.0}
 SHAPES = {"embed": (_START + 1, EMBED), "wx": (EMBED, 3 * HIDDEN), "b": (3 * HIDDEN,), "u": (HIDDEN, 3 * HIDDEN), "wc": (HIDDEN, _CLASSES), "bc": (_CLASSES,), "ww": (M, HIDDEN), "bw": (M,)}
 
 
@@ -108,7 +117,7 @@ def initial(words: Words) -> dict[str, np.ndarray]:
     n[: min(M, len(words.counts))] = words.counts[:M]
     of = np.bincount(words.kind, words.counts, _CLASSES) if len(words.counts) else np.zeros(_CLASSES)
     p["b"][:] = 0
-    p["bw"] = np.log(n + 1).astype(np.float32)
+    p["bw"] = (np.log(n + 1).reshape(-1, S) - np.log(n + 1).reshape(-1, S).max(1, keepdims=True)).ravel().astype(np.float32)
     p["bc"] = np.log(of / max(of.sum(), 1) + 1e-4).astype(np.float32)
     return p
 
@@ -141,13 +150,21 @@ def step(p: dict[str, np.ndarray], gates: np.ndarray, h: np.ndarray) -> tuple[np
     _sigmoid(zr)
     z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
     inner = own[:, 2 * HIDDEN :]
-    n = np.tanh(gates[:, 2 * HIDDEN :] + r * inner)
-    return n + z * (h - n), z, r, n, inner
+    n = r * inner
+    n += gates[:, 2 * HIDDEN :]
+    n *= 2  # tanh by the logistic function, whose exponential is the faster one
+    _sigmoid(n)
+    n *= 2
+    n -= 1
+    new = h - n
+    new *= z
+    new += n
+    return new, z, r, n, inner
 
 
 def _softmax(x: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The targets' log probabilities, and all probabilities times their row's sum, in place; logits are clipped."""
-    np.clip(x, -60, 60, out=x)
+    """The targets' log probabilities, and all probabilities times their row's sum, in place. States lie in -1 to 1 and
+    weights within LIMITS, so no exponential overflows."""
     chosen = x[np.arange(len(x)), target]
     np.exp(x, out=x)
     total = x @ np.ones(x.shape[1], x.dtype)
@@ -156,34 +173,42 @@ def _softmax(x: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 def outputs(p: dict[str, np.ndarray], h: np.ndarray, kind: np.ndarray, number: np.ndarray, grads: dict[str, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray | None]:
     """Log probability of each target's class and, for a frequent word, of the word in it. With grads: these are added for
-    the sum of losses, and the gradient by h is returned."""
-    x = h @ p["wc"] + p["bc"]
-    out, total = _softmax(x, kind)
-    dh = None
-    if grads is not None:
-        x /= total[:, None]
-        x[np.arange(len(h)), kind] -= 1
-        grads["wc"] += h.T @ x
-        grads["bc"] += x.sum(0)
-        dh = x @ p["wc"].T
-    order = np.argsort(kind, kind="stable")
-    cuts = np.searchsorted(kind[order], np.arange(M // S + 1))
-    sorted_h, target = h[order[: cuts[-1]]], number[order[: cuts[-1]]] % S
-    for c in range(M // S):
-        s, e = cuts[c], cuts[c + 1]
-        if s == e:
-            continue
-        own, part = slice(c * S, (c + 1) * S), sorted_h[s:e]
-        x = part @ p["ww"][own].T + p["bw"][own]
-        logs, total = _softmax(x, target[s:e])
-        out[order[s:e]] += logs
+    the sum of losses, and the gradient by h is returned. Works through CHUNK rows at a time."""
+    logs, dh = np.empty(len(h)), None if grads is None else np.empty_like(h)
+    back = p["wc"].T
+    for lo in range(0, len(h), CHUNK):
+        at = slice(lo, lo + CHUNK)
+        x = h[at] @ p["wc"]
+        x += p["bc"]
+        logs[at], total = _softmax(x, kind[at])
         if grads is not None:
             x /= total[:, None]
-            x[np.arange(e - s), target[s:e]] -= 1
-            grads["ww"][own] += x.T @ part
-            grads["bw"][own] += x.sum(0)
-            dh[order[s:e]] += x @ p["ww"][own]
-    return out.astype(np.float64), dh
+            x[np.arange(len(x)), kind[at]] -= 1
+            grads["wc"] += h[at].T @ x
+            grads["bc"] += np.ones(len(x), x.dtype) @ x
+            np.matmul(x, back, out=dh[at])
+    named = np.flatnonzero(kind < M // S)
+    order = named[np.argsort(kind[named].astype(np.int16), kind="stable")]
+    part, target = h.take(order, 0), number.take(order) % S
+    cuts = np.searchsorted(kind.take(order), np.arange(M // S + 1)).tolist()
+    inner, more = np.empty(len(order)), None if grads is None else np.empty_like(part)
+    for c, (s, e) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+        own = slice(c * S, (c + 1) * S)
+        for lo in range(s, e, CHUNK):
+            at = slice(lo, min(e, lo + CHUNK))
+            x = part[at] @ p["ww"][own].T
+            x += p["bw"][own]
+            inner[at], total = _softmax(x, target[at])
+            if grads is not None:
+                x /= total[:, None]
+                x[np.arange(len(x)), target[at]] -= 1
+                grads["ww"][own] += x.T @ part[at]
+                grads["bw"][own] += x.sum(0)
+                np.matmul(x, p["ww"][own], out=more[at])
+    logs[order] += inner
+    if grads is not None:
+        dh[order] += more
+    return logs, dh
 
 
 def backpropagate(p: dict[str, np.ndarray], seen: np.ndarray, kind: np.ndarray, number: np.ndarray, valid: np.ndarray, h: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray, float]:
@@ -191,40 +216,53 @@ def backpropagate(p: dict[str, np.ndarray], seen: np.ndarray, kind: np.ndarray,
     steps, rows = seen.shape
     grads = {k: np.zeros(s, np.float32) for k, s in SHAPES.items()}
     table = p["embed"] @ p["wx"] + p["b"]
-    states, inside = [h], []
+    states = np.empty((steps + 1, rows, HIDDEN), table.dtype)
+    states[0], inside = h, []
     for t in range(steps):
-        h, *parts = step(p, table[seen[t]], h)
-        states.append(h)
+        states[t + 1], *parts = step(p, table.take(seen[t], 0), states[t])
         inside.append(parts)
-    every = np.stack(states[1:])
-    at = np.nonzero(valid)
-    logs, dh = outputs(p, every[at], kind[at], number[at], grads)
+    at = np.nonzero(valid.ravel())[0]
+    flat_states = states[1:].reshape(-1, HIDDEN)
+    logs, dh = outputs(p, flat_states.take(at, 0), kind.ravel().take(at), number.ravel().take(at), grads)
     total = max(1, len(logs))
-    from_out = np.zeros((steps, rows, HIDDEN), np.float32)
-    from_out[at] = dh / total
+    from_out = np.zeros_like(flat_states)
+    from_out[at] = dh
+    from_out *= 1 / total
+    from_out = from_out.reshape(steps, rows, HIDDEN)
     for k in ("wc", "bc", "ww", "bw"):
         grads[k] /= total
-    back = np.zeros((rows, HIDDEN), np.float32)
-    every_gate = np.empty((steps, rows, 3 * HIDDEN), table.dtype)
+    back = np.zeros((rows, HIDDEN), table.dtype)
+    # of the inputs' gates, and of the state's, whose candidate goes through the reset gate
+    gates, own = (np.empty((steps, rows, 3 * HIDDEN), table.dtype) for _ in range(2))
+    ut = np.ascontiguousarray(p["u"].T)
     for t in range(steps - 1, -1, -1):
         z, r, n, inner = inside[t]
-        before = states[t]
-        back = back + from_out[t]
-        dn = back * (1 - z) * (1 - n * n)
-        dz = back * (before - n) * z * (1 - z)
-        dr = dn * inner * r * (1 - r)
-        every_gate[t, :, :HIDDEN], every_gate[t, :, HIDDEN : 2 * HIDDEN], every_gate[t, :, 2 * HIDDEN :] = dz, dr, dn
-        own = np.concatenate([dz, dr, dn * r], 1)
-        grads["u"] += before.T @ own
-        back = back * z + own @ p["u"].T
-    order = np.argsort(seen.ravel(), kind="stable")
-    inputs, first = np.unique(seen.ravel()[order], return_index=True)
-    dtable = np.zeros_like(table)
-    dtable[inputs] = np.add.reduceat(every_gate.reshape(-1, 3 * HIDDEN)[order], first)
-    grads["embed"] = dtable @ p["wx"].T
-    grads["wx"] = p["embed"].T @ dtable
-    grads["b"] = dtable.sum(0)
-    return grads, h, float(logs.sum())
+        back += from_out[t]
+        open_ = 1 - z
+        dz = states[t] - n
+        dz *= back
+        dz *= z
+        dz *= open_
+        dn = open_
+        dn *= back
+        dn *= 1 - n * n
+        dr = dn * inner
+        dr *= r
+        dr *= 1 - r
+        g, o = gates[t], own[t]
+        g[:, :HIDDEN], g[:, HIDDEN : 2 * HIDDEN], g[:, 2 * HIDDEN :] = dz, dr, dn
+        o[:, : 2 * HIDDEN] = g[:, : 2 * HIDDEN]
+        np.multiply(dn, r, out=o[:, 2 * HIDDEN :])
+        back *= z
+        back += o @ ut
+    gates, own, inputs = gates.reshape(-1, 3 * HIDDEN), own.reshape(-1, 3 * HIDDEN), seen.ravel()
+    grads["u"] += states[:-1].reshape(-1, HIDDEN).T @ own
+    grads["wx"] = p["embed"].take(inputs, 0).T @ gates
+    grads["b"] = np.ones(len(gates), gates.dtype) @ gates
+    order = np.argsort(inputs.astype(np.int16), kind="stable")
+    found, first = np.unique(inputs[order], return_index=True)
+    grads["embed"][found] = np.add.reduceat((gates @ p["wx"].T).take(order, 0), first)
+    return grads, states[-1].copy(), float(logs.sum())
 
 
 class Adam:
@@ -241,6 +279,53 @@ class Adam:
             self.m[k] += 0.1 * (g - self.m[k])
             self.v[k] += 0.01 * (g * g - self.v[k])
             self.p[k] -= (rate * self.m[k] / (np.sqrt(self.v[k]) + 1e-6)).astype(np.float32)
+            if k in LIMITS:
+                np.clip(self.p[k], -LIMITS[k], LIMITS[k], out=self.p[k])
+
+
+class Lanes:
+    """Documents' numbers side by side; each window takes the next STEPS of every one."""
+
+    def __init__(self):
+        self.docs: list[np.ndarray] = []
+        self.at = np.zeros(0, np.int64)
+        self.size = np.zeros(0, np.int64)
+        self.state = np.zeros((0, HIDDEN), np.float32)
+        self._new: list[np.ndarray] = []
+
+    def __len__(self) -> int:
+        return len(self.docs) + len(self._new)
+
+    def add(self, numbers: np.ndarray) -> None:
+        self._new.append(numbers)
+
+    def window(self, own: Words) -> tuple[np.ndarray, ...]:
+        """Inputs, classes, numbers and which are valid, as steps x lanes. What is seen first is _START."""
+        if self._new:
+            n = len(self._new)
+            self.docs += self._new
+            self.at = np.concatenate((self.at, np.zeros(n, np.int64)))
+            self.size = np.concatenate((self.size, np.fromiter(map(len, self._new), np.int64, n)))
+            self.state = np.concatenate((self.state, np.zeros((n, HIDDEN), np.float32)))
+            self._new = []
+        left = self.size - self.at
+        long = min(STEPS, int(left.max()))
+        number = np.full((len(self.docs), long + 1), -1, np.int32)
+        for k, (d, at) in enumerate(zip(self.docs, self.at.tolist(), strict=True)):
+            part = d[max(0, at - 1) : at + long]
+            lo = at == 0
+            number[k, lo : lo + len(part)] = part
+        seen, kind = own.inputs(number)
+        seen[self.at == 0, 0] = _START
+        return seen[:, :long].T, kind[:, 1:].T, number[:, 1:].T, (np.arange(long)[None, :] < left[:, None]).T
+
+    def moved(self, state: np.ndarray) -> np.ndarray:
+        """Goes on by a window; returns which lanes have ended (these are gone)."""
+        self.at += STEPS
+        more = self.at < self.size
+        self.docs = [d for d, go in zip(self.docs, more.tolist(), strict=True) if go]
+        self.at, self.size, self.state = self.at[more], self.size[more], state[more]
+        return np.flatnonzero(~more)
 
 
 def train_round(docs: DataFrame, words, start, number_of_round: int) -> np.ndarray:
@@ -249,39 +334,23 @@ def train_round(docs: DataFrame, words, start, number_of_round: int) -> np.ndarr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: Words = words.value
         model = Adam(unflat(start.value), RATE / (1 + 2 * number_of_round))
-        tokens = 0
-
-        lanes: list[tuple[np.ndarray, int]] = []  # a document's numbers and how far it is
-        state = np.zeros((0, HIDDEN), np.float32)
+        tokens, lanes = 0, Lanes()
 
         def learn() -> None:
-            """The next window of each lane; lanes whose document ends are dropped."""
-            nonlocal lanes, state, tokens
-            left = np.array([len(r) - 1 - at for r, at in lanes])
-            long = min(STEPS, int(left.max()))
-            number = np.full((len(lanes), long + 1), -1, np.int32)
-            for k, (r, at) in enumerate(lanes):
-                part = r[at : at + long + 1]
-                number[k, : len(part)] = part
-            seen, kind = own.inputs(number)
-            seen[number[:, 0] == np.iinfo(np.int32).min, 0] = _START
-            valid = np.arange(long)[None, :] < left[:, None]
-            grads, state, _ = backpropagate(model.p, seen[:, :long].T, kind[:, 1:].T, number[:, 1:].T, valid.T, state)
+            nonlocal tokens
+            seen, kind, number, valid = lanes.window(own)
+            grads, state, _ = backpropagate(model.p, seen, kind, number, valid, lanes.state)
             model.update(grads)
             tokens += int(valid.sum())
-            more = left > long
-            lanes = [(r, at + long) for (r, at), go in zip(lanes, more, strict=True) if go]
-            state = state[more]
+            lanes.moved(state)
 
-        for b in batches:
+        for b in pieces(batches):
             for t in utf8(b.column(0)):
-                run = own.numbers(tokens_of(t))
+                lanes.add(own.numbers(tokens_of(t)))
                 own.rare.clear()
-                lanes.append((np.concatenate((np.array([np.iinfo(np.int32).min], np.int32), run)), 0))
-                state = np.concatenate((state, np.zeros((1, HIDDEN), np.float32)))
-                while len(lanes) == BATCH:
+                while len(lanes) >= min(BATCH, FIRST + model.t):
                     learn()
-        while lanes:
+        while len(lanes):
             learn()
         if tokens:
             x = np.append(flat(model.p).astype(np.float64), 1.0) * tokens
@@ -295,46 +364,54 @@ def train_round(docs: DataFrame, words, start, number_of_round: int) -> np.ndarr
     return x[:-1] / x[-1]
 
 
+def scored(p: dict[str, np.ndarray], own: Words, docs: Iterator[tuple[object, np.ndarray]], group: int = 0) -> Iterator[tuple[object, float]]:
+    """For each (key, numbers of a whole document) the key and the log10 probability by classes and frequent words, in the
+    order in which documents end."""
+    table = p["embed"] @ p["wx"] + p["b"]
+    lanes, keys, total, group = Lanes(), [], np.zeros(0), group or GROUP
+
+    def go() -> Iterator[tuple[object, float]]:
+        nonlocal keys, total
+        seen, kind, number, valid = lanes.window(own)
+        total = np.concatenate((total, np.zeros(len(keys) - len(total))))
+        h, states = lanes.state, np.empty((*seen.shape, HIDDEN), np.float32)
+        for t in range(len(seen)):
+            h = states[t] = step(p, table.take(seen[t], 0), h)[0]
+        at = np.nonzero(valid.ravel())[0]
+        logs, _ = outputs(p, states.reshape(-1, HIDDEN).take(at, 0), kind.ravel().take(at), number.ravel().take(at))
+        total += np.bincount(at % len(keys), logs, len(keys))
+        ended = lanes.moved(h)
+        for k in ended.tolist():
+            yield keys[k], float(total[k]) / np.log(10)
+        gone = set(ended.tolist())
+        keys, total = [x for k, x in enumerate(keys) if k not in gone], np.delete(total, ended)
+
+    for key, numbers in docs:
+        lanes.add(numbers)
+        keys.append(key)
+        while len(lanes) >= group:
+            yield from go()
+    while len(lanes):
+        yield from go()
+
+
 def scores(p: dict[str, np.ndarray], own: Words, docs: list[np.ndarray]) -> np.ndarray:
     """log10 probability of each document's whole run of numbers by classes and frequent words."""
-    table = p["embed"] @ p["wx"] + p["b"]
-    total = np.zeros(len(docs))
-    order = np.argsort([-len(d) for d in docs], kind="stable")
-    for lo in range(0, len(order), GROUP):
-        part = order[lo : lo + GROUP]
-        lengths = np.array([len(docs[k]) for k in part])
-        h = np.zeros((len(part), HIDDEN), np.float32)
-        last = np.full(len(part), _START)
-        for s in range(0, int(lengths[0]), STEPS):
-            rows = int((lengths > s).sum())
-            n = min(STEPS, int(lengths[0]) - s)
-            number = np.full((rows, n), -1, np.int32)
-            for k in range(rows):
-                x = docs[part[k]][s : s + n]
-                number[k, : len(x)] = x
-            seen, kind = own.inputs(number)
-            before = np.concatenate([last[:rows, None], seen[:, :-1]], 1)
-            last[:rows] = seen[:, -1]
-            gates = table[before.T]
-            states = np.empty((n, rows, HIDDEN), np.float32)
-            h = h[:rows]
-            for t in range(n):
-                h = step(p, gates[t], h)[0]
-                states[t] = h
-            valid = (np.arange(s, s + n)[:, None] < lengths[None, :rows])
-            t, k = np.nonzero(valid)
-            logs, _ = outputs(p, states[t, k], kind[k, t], number[k, t])
-            total[part[:rows]] += np.bincount(k, logs, rows)
-    return total / np.log(10)
-
-
-def score_documents(docs: DataFrame, fold: int = 7, held: int = 2) -> DataFrame:
+    out = np.zeros(len(docs))
+    for k, x in scored(p, own, iter(enumerate(docs))):
+        out[k] = x
+    return out
+
+
+def score_documents(docs: DataFrame, fold: int = 7, held: int = 2, epochs: int = 1) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of docs.
 
-    Held out are documents whose crc32 of the id, as text, leaves `held` by `fold`; a null id trains. A null text is empty:
-    its one token is the end. Repeated rows are scored alike; an empty table gives none, one without training documents
-    gives each token the share of a word that was never seen."""
+    Held out are documents whose crc32 of the id, as text, leaves `held` by `fold`; a null id trains. An epoch trains on
+    every token of every other document once. A null text is empty: its one token is the end. Repeated rows are scored
+    alike; an empty table gives none, one without training documents gives each token the share of a word that was never
+    seen. Tokens of very long texts train and score in windows like all others."""
     spark = docs.sparkSession
+    small_batches(spark)
     out_of = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % fold == held, F.lit(False))
     rows = docs.select("doc_id", out_of.alias("held_out"), F.col("text").cast("string").alias("text"))
     training = rows.where(~F.col("held_out"))
@@ -357,37 +434,45 @@ def score_documents(docs: DataFrame, fold: int = 7, held: int = 2) -> DataFrame:
         of[r["k"]] += r["n"]
     words = Words(known, known_counts, of)
     shared, x = spark.sparkContext.broadcast(words), flat(initial(words)).astype(np.float64)
-    for k in range(ROUNDS):
-        x = train_round(training, shared, spark.sparkContext.broadcast(x), k)
+    for k in range(ROUNDS * epochs):
+        part = training.where(F.pmod(F.xxhash64("text"), F.lit(ROUNDS)) == k % ROUNDS)
+        x = train_round(part, shared, spark.sparkContext.broadcast(x), k)
     model = spark.sparkContext.broadcast(x)
     kind = rows.schema["doc_id"].dataType.simpleString()
+    names = ("doc_id", "held_out", "n_tokens", "n_known", "base", "score", "rare")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, p = shared.value, unflat(model.value)
-        for b in batches:
-            if not b.num_rows:
-                continue
-            numbers, rare = [], []
-            for t in utf8(b.column(2)):
-                numbers.append(own.numbers(tokens_of(t)))
-                rare.append(list(own.rare))
-                own.rare.clear()
-            score = scores(p, own, numbers)
-            n_known, base = np.zeros(len(numbers), np.int64), np.zeros(len(numbers))
-            for k, n in enumerate(numbers):
-                hit = n[n >= 0]
-                n_known[k] = len(hit)
-                if len(hit):
-                    base[k] = own.log_count[hit].sum()
-                tail = hit[hit >= M]
-                if len(tail):
-                    score[k] += (own.log_count[tail] + own.log_share[own.kind[tail] - M // S]).sum()
-                if len(hit) < len(n):
-                    score[k] += own.log_share[-1 - n[n < 0]].sum()
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(np.fromiter(map(len, numbers), np.int64, len(numbers))), pa.array(n_known), pa.array(base), pa.array(score), pa.array(rare, pa.list_(pa.binary())).cast(pa.list_(pa.string()))],
-                ["doc_id", "held_out", "n_tokens", "n_known", "base", "score", "rare"],
-            )
+        id_type: list[pa.DataType] = []
+
+        def numbered() -> Iterator[tuple[list, np.ndarray]]:
+            for b in pieces(batches):
+                id_type[:] = [b.schema.field(0).type]
+                for key, held_out, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), utf8(b.column(2)), strict=True):
+                    n = own.numbers(tokens_of(t))
+                    hit = n[n >= 0]
+                    tail = hit[hit >= M]
+                    rest = float((own.log_count[tail] + own.log_share[own.kind[tail] - M // S]).sum()) if len(tail) else 0.0
+                    if len(hit) < len(n):
+                        rest += float(own.log_share[-1 - n[n < 0]].sum())
+                    base = float(own.log_count[hit].sum()) if len(hit) else 0.0
+                    yield [key, held_out, len(n), len(hit), base, rest, list(own.rare)], n
+                    own.rare.clear()
+
+        def batch(done: list[list]) -> pa.RecordBatch:
+            kinds = (id_type[0], pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()))
+            columns = [pa.array([r[k] for r in done], t) for k, t in enumerate(kinds)]
+            return pa.RecordBatch.from_arrays([*columns[:-1], columns[-1].cast(pa.list_(pa.string()))], names)
+
+        done = []
+        for row, score in scored(p, own, numbered()):
+            row[5] += score
+            done.append(row)
+            if len(done) >= 500:
+                yield batch(done)
+                done = []
+        if done:
+            yield batch(done)
 
     local, _ = materialize(rows.mapInArrow(run, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, score double, rare array<string>").withColumn("_uid", F.monotonically_increasing_id()), "lm-local")
     rare = local.select("_uid", F.explode("rare").alias("w")).join(counts, F.col("w") == F.col("word"))
