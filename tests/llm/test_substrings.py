@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import substrings as S
 
@@ -14,34 +15,69 @@ def found(spark, texts, **more):
     return S.repeated(documents(spark, texts, **more)).collect()
 
 
-def test_paragraphs_and_passages(spark):
+def shingles(words):
+    return {" ".join(words[k : k + 5]) for k in range(max(1, len(words) - 4))}
+
+
+def test_units(spark):
     rng = np.random.default_rng(0)
     para, passage = prose(rng, 40), prose(rng, 55)
     words = para.split()
     near = " ".join(words[:20] + ["changed"] + words[21:])  # 5 of 36 shingles differ: 31 / 41 < 0.8
     nearer = " ".join(words[:-1] + ["end"])  # 35 / 37
     texts = [f"{prose(rng, 30)}\n{para}", f"{para}\n{prose(rng, 60)}", f"{prose(rng, 25)}\n{nearer}", near, f"{prose(rng, 33)} {passage} {prose(rng, 20)}", f"{prose(rng, 9)} {passage.upper()} {prose(rng, 70)}", prose(rng, 200), prose(rng, 12), "short line\nshort line"]
-    rows = found(spark, texts)
-    by = {}
+    rows = {(r["doc_id"], r["unit"], r["start"], r["n_words"], r["cluster_doc"], r["cluster_start"], r["kept"]) for r in found(spark, texts)}
+    assert rows == {
+        (0, "paragraph", 30, 40, 0, 30, True), (1, "paragraph", 0, 40, 0, 30, False), (2, "paragraph", 25, 40, 0, 30, False),
+        (4, "passage", 33, 55, 4, None, True), (5, "passage", 9, 55, 4, None, False),
+    }
+
+
+def brute_passages(texts):
+    """Word positions that windows of PASSAGE words cover which stand elsewhere, too."""
+    from collections import Counter
+
+    words = [(t or "").lower().split() for t in texts]
+    window = lambda w, k: " ".join(w[k : k + S.PASSAGE])
+    n = Counter(window(w, k) for w in words for k in range(len(w) - S.PASSAGE + 1))
+    return {(d, j) for d, w in enumerate(words) for k in range(len(w) - S.PASSAGE + 1) if n[window(w, k)] > 1 for j in range(k, k + S.PASSAGE)}
+
+
+def test_passages_cover_exactly_what_repeats(spark):
+    rng = np.random.default_rng(3)
+    pool = [prose(rng, int(n)) for n in (50, 51, 60, 90, 200, 49, 30)]
+    texts = []
+    for _ in range(60):
+        parts = []
+        for _ in range(rng.integers(1, 6)):
+            p = pool[rng.integers(len(pool))].split()
+            cut = slice(int(rng.integers(0, 20)), len(p) - int(rng.integers(0, 20))) if rng.random() < 0.4 else slice(None)
+            parts += [" ".join(p[cut]), prose(rng, int(rng.integers(0, 40)))]
+        texts.append(" ".join(parts))
+    rows = [r for r in found(spark, texts) if r["unit"] == "passage"]
+    got = {(r["doc_id"], j) for r in rows for j in range(r["start"], r["start"] + r["n_words"])}
+    assert got == brute_passages(texts)
+    # each window that repeats is kept once
+    words = [t.split() for t in texts]
+    kept = {}
     for r in rows:
-        by.setdefault((r["passage"], r["cluster_id"]), set()).add(r["doc_id"])
-    assert {0, 1, 2} in [d for (p, _), d in by.items() if not p]
-    assert {4, 5} in [d for (p, _), d in by.items() if p]
-    assert not {6, 7, 8} & {r["doc_id"] for r in rows}
-    assert all(d <= {0, 1, 2, 3} or d == {4, 5} for d in by.values())
-    first = [r for r in rows if not r["passage"] and r["kept"]]
-    assert [(r["doc_id"], r["start"]) for r in first] == [(0, 30)]
-    assert {r["cluster_doc"] for r in rows if not r["passage"]} == {0}
-
-
-@pytest.mark.parametrize("n", [51, 60, 120])
-def test_any_long_passage_is_found(spark, n):
+        if r["kept"]:
+            for k in range(r["start"], r["start"] + r["n_words"] - S.PASSAGE + 1):
+                w = " ".join(words[r["doc_id"]][k : k + S.PASSAGE])
+                kept.setdefault(w, []).append(r["doc_id"])
+    assert all(len(set(d)) == 1 for d in kept.values())
+
+
+@pytest.mark.parametrize("n", [50, 51, 60, 120])
+def test_any_long_passage_has_a_common_seed(n):
     rng = np.random.default_rng(n)
     for _ in range(20):
         passage = prose(rng, n)
-        sides = [f"{prose(rng, rng.integers(0, 40))} {passage} {prose(rng, rng.integers(0, 40))}".lower().encode().split() for _ in range(2)]
-        units = [{S._digest(w[a : a + S.PASSAGE]) for a in S.anchors(S._hashes(w)).tolist() if a + S.PASSAGE <= len(w)} for w in sides]
-        assert units[0] & units[1]
+        sides = []
+        for _ in range(2):
+            t = S.Texts([f"{prose(rng, rng.integers(0, 40))} {passage} {prose(rng, rng.integers(0, 40))}".encode()], S._Words())
+            sides.append(set(t.hashes(t.seeds(t.shingles()), S.SEED).tolist()))
+        assert sides[0] & sides[1]
 
 
 def test_anchors_are_windows_minima():
@@ -52,6 +88,24 @@ def test_anchors_are_windows_minima():
         assert set(S.anchors(h).tolist()) == want
 
 
+def test_hashes_do_not_depend_on_the_place():
+    rng = np.random.default_rng(6)
+    a, b = prose(rng, 30), prose(rng, 70)
+    one, two = S.Texts([a.encode(), b.encode()], S._Words()), S.Texts([None, b"", b.upper().encode(), b"x y"], S._Words())
+    for size in (5, 20, 50):
+        assert (one.hashes(np.arange(30, 100 - size), size) == two.hashes(np.arange(0, 70 - size), size)).all()
+    assert len(set(one.hashes(np.arange(0, 96), 5).tolist())) == 96
+
+
+def test_wrapped_lines_are_one_paragraph(spark):
+    rng = np.random.default_rng(8)
+    words = prose(rng, 90).split()
+    wrap = lambda w: "\n".join(" ".join(w[k : k + 12]) for k in range(0, len(w), 12))
+    rows = found(spark, [f"{prose(rng, 20)}\n{wrap(words)}\n\n{prose(rng, 14)}", f"{wrap([*words[:-1], 'other'])}\n{prose(rng, 30)}", wrap(prose(rng, 60).split())])
+    got = {(r["doc_id"], r["start"], r["n_words"], r["kept"]) for r in rows if r["unit"] == "paragraph"}
+    assert got == {(0, 20, 90, True), (1, 0, 90, False)}
+
+
 def test_recall_and_exactness(spark):
     """Every pair of paragraphs at 0.8 or more is connected, none below unless by a chain."""
     rng = np.random.default_rng(7)
@@ -61,10 +115,10 @@ def test_recall_and_exactness(spark):
         paras.append(words)
         for _ in range(5):
             copy = list(words)
-            for k in rng.integers(0, len(copy), rng.integers(0, 4)):
-                copy[k] = "x" + str(rng.integers(1000))
+            for k in rng.integers(0, len(copy), rng.integers(1, 4)):
+                copy[k] = "x" + str(rng.integers(100000))
             paras.append(copy)
-    sets = [S.shingles([w.encode() for w in p]) for p in paras]
+    sets = [shingles(p) for p in paras]
     n = len(paras)
     label = list(range(n))
     for a in range(n):
@@ -72,31 +126,64 @@ def test_recall_and_exactness(spark):
             if S.jaccard(sets[a], sets[b]) >= S.JACCARD and label[a] != label[b]:
                 old, new = max(label[a], label[b]), min(label[a], label[b])
                 label = [new if x == old else x for x in label]
-    rows = [r for r in found(spark, [" ".join(p) for p in paras]) if not r["passage"]]
+    rows = [r for r in found(spark, [" ".join(p) for p in paras]) if r["unit"] == "paragraph"]
     got = {r["doc_id"]: r["cluster_doc"] for r in rows}
     want = {k: label[k] for k in range(n) if label.count(label[k]) > 1}
     assert sum(got.get(k) == v for k, v in want.items()) >= 0.99 * len(want) and set(got) <= set(want)
+    assert {d for d, c in got.items() if d == c} == {r["doc_id"] for r in rows if r["kept"]}
+
+
+@pytest.mark.parametrize("block", [1, 2, 1024])
+def test_blocks_find_what_stars_miss(spark, monkeypatch, block):
+    """One bucket of several components, whose members link with the largest one or with each other."""
+    monkeypatch.setattr(S, "BLOCK", block)
+    base, far = [f"w{k}" for k in range(40)], [f"v{k}" for k in range(40)]
+    texts = [[f"q{k}" for k in range(40)], base, [*base[:-1], "z"], [f"u{k}" for k in range(40)], far, [*far[:-1], "z"], ["a", *far[1:]], ["b", *base[1:]]]
+    sets = [sorted(hash(x) for x in shingles(t)) for t in texts]
+    members = spark.createDataFrame([(0, 0, k, 0) for k in range(len(texts))]  # the first one is like none, "band int, value int, cid long, first long")
+    held = spark.createDataFrame(list(enumerate(sets)), "cid long, shingles array<long>")
+    for parts in ([], [(1, 1), (2, 1), (7, 1)], [(4, 4), (5, 4), (6, 4)]):
+        links = S._left_over(members, spark.createDataFrame(parts, "node long, component long"), held).collect()
+        label = {k: k for k in range(len(texts))} | dict(parts)
+        for r in links:
+            a, b = label[r["a"]], label[r["b"]]
+            label = {k: a if v == b else v for k, v in label.items()}
+        groups = {}
+        for k, v in label.items():
+            groups.setdefault(v, set()).add(k)
+        assert sorted(map(sorted, groups.values())) == [[0], [1, 2, 7], [3], [4, 5, 6]]
+
+
+def test_repeated_rows_and_copies(spark):
+    """Of each cluster one row is kept, whatever repeats."""
+    rng = np.random.default_rng(2)
+    words = prose(rng, 40).split()
+    para, near = " ".join(words), " ".join([*words[:-1], "end"])
+    rows = found(spark, [para, para, near, near, para], ids=[3, 3, 4, 5, None])
+    by = {}
+    for r in rows:
+        by.setdefault(r["unit"], []).append((r["doc_id"], r["cluster_doc"], r["kept"]))
+    assert sorted(by["text"], key=str) == sorted([(3, 3, True), (3, 3, False), (None, 3, False), (4, 4, True), (5, 4, False)], key=str)
+    assert sorted(by["paragraph"]) == [(3, 3, True), (4, 3, False)]
+    assert sorted(map(str, found(spark, [para, para, near, near, para], ids=[3, 3, 4, 5, None]))) == sorted(map(str, rows))
 
 
-def test_blocks_find_what_stars_miss(spark, monkeypatch):
-    """In one bucket: the first is near to neither of two that are near to each other."""
-    monkeypatch.setattr(S, "BLOCK", 2)
-    base = [f"w{k}" for k in range(40)]
-    texts = [" ".join(f"q{k}" for k in range(40)), " ".join(base), " ".join([*base[:-1], "z"]), " ".join(f"u{k}" for k in range(40))]
-    monkeypatch.setattr(S, "bands", lambda h: np.zeros(S.BANDS, np.int32))
-    docs = documents(spark, texts)
-    rows, _ = S.materialize(S.units(docs), "test")
-    from pyspark.sql import functions as F
-
-    classes = rows.where("not passage").withColumn("bands", F.array(*[F.lit(1)] * S.BANDS)).withColumn("cid", F.col("doc_id")).withColumn("n", F.lit(1))
-    got = {r["node"]: r["component"] for r in S._near(classes, docs).collect()}
-    assert got == {1: 1, 2: 1}
+def test_copies_that_are_not_broadcast(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    texts = [prose(rng, 60) for _ in range(6)]
+    docs = [texts[k % 6] if k < 9 else f"{prose(rng, 5)} {texts[k % 6]}" for k in range(15)]
+    want = sorted(map(str, found(spark, docs)))
+    monkeypatch.setattr(S, "MOST_COPIES", 0)
+    assert sorted(map(str, found(spark, docs))) == want and want
 
 
 def test_odd_rows(spark):
     rng = np.random.default_rng(2)
-    para = prose(rng, 20)
-    docs = documents(spark, [None, "", para, para, f"{para}\n{para}", "w"], ids=[None, None, None, 3, 3, 4])
-    rows = S.repeated(crowded(docs).drop("start", "passage")).collect()
-    assert len(rows) == 4 and all(r["cluster_doc"] == 3 for r in rows)
+    para, long = prose(rng, 20), prose(rng, 30000)
+    docs = documents(spark, [None, "", para, f"{para}\n{para}", " \n ", " \n ", "w", long, f"x {long}"], ids=[None, None, None, 3, 3, 4, 4, 5, 6])
+    rows = S.repeated(crowded(docs).drop("start", "unit")).collect()
+    got = sorted((r["unit"], r["doc_id"] is None, r["doc_id"], r["start"], r["n_words"], r["cluster_doc"], r["kept"]) for r in rows)
+    long_line = [("paragraph", False, 5, 0, 30000, 5, True), ("paragraph", False, 6, 0, 30001, 5, False)]
+    assert got == [("paragraph", False, 3, 0, 20, 3, True), ("paragraph", False, 3, 20, 20, 3, False), *long_line, ("paragraph", True, None, 0, 20, 3, False), ("passage", False, 5, 0, 30000, 5, True), ("passage", False, 6, 1, 30000, 5, False)]
     assert S.repeated(docs.limit(0)).collect() == []
+    assert S.repeated(docs.withColumn("text", F.lit(None).cast("string"))).collect() == []
