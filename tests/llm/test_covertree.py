@@ -78,3 +78,24 @@ def test_odd_rows(spark):
 def test_repeated_rows_link(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0]), (1, [1.0, 0.0]), (5, [1.0, 0.1])], "vec_id long, embedding array<float>")
     assert sorted(tuple(r) for r in C.near_vectors(df).collect()) == [(1, 2, 1, True), (1, 2, 1, True), (5, 2, 1, False)]
+
+
+def test_rounding_loses_no_link():
+    """A centre, a near copy of it and a query just over the threshold from the copy: a ball of computed radius 0 holds both."""
+    rng = np.random.default_rng(12)
+    lost = 0
+    for _ in range(400):
+        centre = C.unit(rng.standard_normal((1, 64)))
+        copy = C.unit(centre + 1.2e-8 * C.unit(rng.standard_normal((1, 64))))
+        away = rng.standard_normal((1, 64))
+        away = C.unit(away - (away @ copy.T) * copy)
+        query = C.unit(0.9 * copy + np.sqrt(1 - 0.81) * away)
+        step = 1e-17
+        while (query * copy).sum() < 0.9:
+            query, step = C.unit(query + step * copy), step * 2
+        x = C._Side(np.arange(2), np.ones(2, np.int64), np.concatenate([centre, copy]))
+        y = C._Side(np.arange(2, 3), np.ones(1, np.int64), query)
+        found = {(int(x.ids[a]), int(y.ids[b])) for i, j in C.compare(x, y, 0.9) for a, b in zip(i, j, strict=True)}
+        want = {(k, 2) for k, v in enumerate((centre, copy)) if (v[0] * query[0]).sum() >= 0.9}
+        lost += bool(want - found)
+    assert not lost
