@@ -32,7 +32,8 @@ def values_with_units(text: Column) -> Column:
 
 def description_map(text: Column) -> Column:
     """map<string,string> of "k: v" and "k=v" between line ends, tabs and bars; a colon goes before an equals sign. Values
-    that aren't numbers become booleans: true for any text, false for none."""
+    that aren't numbers become booleans: true for any text, false for none. A text in braces is a literal dictionary, whose
+    values stay as they are."""
     parts = F.filter(F.split(text, r"[\r\n\t|]"), lambda p: p.contains(":") | p.contains("="))
     split = lambda p: F.when(p.contains(":"), F.split(p, ":")).otherwise(F.split(p, "="))
 
@@ -45,7 +46,8 @@ def description_map(text: Column) -> Column:
     pairs = F.transform(parts, lambda p: F.struct(F.trim(split(p)[0]).alias("key"), value(split(p)[1]).alias("value")))
     # the last of equal keys wins
     latest = F.aggregate(pairs, F.array().cast("array<struct<key:string,value:string>>"), lambda a, p: F.concat(F.filter(a, lambda q: q["key"] != p["key"]), F.array(p)))
-    return F.map_from_entries(latest)
+    literal = F.from_json(F.translate(text, "'", '"'), "map<string,string>", {"mode": "PERMISSIVE"})
+    return F.when(F.ltrim(text).startswith("{"), literal).otherwise(F.map_from_entries(latest))
 
 
 def file_title(path: Column, strict: bool = False) -> Column:
@@ -93,6 +95,26 @@ def fix_micro(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, "Âµ|\\\\u00b5|&#181;", "µ"), "^micron$", "µm")
 
 
+def ensure_list(value: Column) -> Column:
+    """An array of one element, or of none for null."""
+    return F.when(value.isNull(), F.array().cast("array<string>")).otherwise(F.array(value.cast("string")))
+
+
+def default(value: Column, other) -> Column:
+    return F.coalesce(value, other if isinstance(other, Column) else F.lit(other))
+
+
+def tag_names(tags: Column, names: Mapping[int, str]) -> Column:
+    """map<int,string> by number to one by name; tags without a name keep their number."""
+    table = F.create_map(*[x for k, v in names.items() for x in (F.lit(int(k)), F.lit(v))])
+    return F.transform_keys(tags, lambda k, _: F.coalesce(F.try_element_at(table, k), k.cast("string")))
+
+
+def is_image_path(path: Column) -> Column:
+    """A file, or a folder whose name says that it is a chunked array."""
+    return F.regexp_extract(path, r"[^/]+$", 0).contains(".") | path.rlike(r"\.zarr/?$")
+
+
 def compact(m: Column) -> Column:
     return F.map_filter(m, lambda _, v: v.isNotNull())
 
@@ -182,9 +204,15 @@ def to_xml(tree: Mapping) -> str:
 
 
 def read_tree(path: str) -> dict:
-    """A metadata file by its extension: XML or JSON."""
+    """A metadata file by its extension: XML, JSON, or YAML where its library is installed."""
     with open(path, encoding="utf-8") as f:
         text = f.read()
+    if path.lower().endswith((".yml", ".yaml")):
+        try:
+            import yaml
+        except ImportError as e:
+            raise ValueError(f"no YAML reader for {path} is installed") from e
+        return yaml.safe_load(text)
     if path.lower().endswith(".xml"):
         return from_xml(text)
     if path.lower().endswith(".json"):

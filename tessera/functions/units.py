@@ -73,3 +73,14 @@ def rotation(text: Column) -> Column:
     """Degrees out of "angle: v unit", "angle=v unit" or "angle v unit"."""
     pattern = r"(?i)angle\s*[:=]?\s*(-?[0-9]+(?:\.[0-9]+)?)\s*([A-Za-z]*)"
     return degrees(F.regexp_extract(text, pattern, 1).try_cast("double"), F.regexp_extract(text, pattern, 2))
+
+
+def physical_size(size: Column, pixel_size: Column) -> Column:
+    """Sizes in pixels times pixel sizes, axis by axis, as far as both go."""
+    n = F.least(F.size(size), F.size(pixel_size))
+    return F.zip_with(F.slice(size, F.lit(1), n), F.slice(pixel_size, F.lit(1), n), lambda s, p: s * p)
+
+
+def chosen_pixel_size(given: Column, found: Column) -> Column:
+    """The pixel size that counts: one that is given and positive, else the file's, else 1."""
+    return F.coalesce(F.when(given > 0, given), F.when(found > 0, found), F.lit(1.0))

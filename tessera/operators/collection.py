@@ -87,3 +87,33 @@ def match_layout(files: DataFrame, layout: DataFrame) -> DataFrame:
     pieces = [pieces_of(n) for n in lengths]
     keyed = files.withColumn("_piece", F.explode(F.array_distinct(F.concat(*pieces) if pieces else F.array().cast("array<string>"))))
     return keyed.join(layout, F.col("_piece") == F.col("title")).drop("_piece")
+
+
+def stage_positions(tiles: DataFrame, pixel_size_um: dict[str, float]) -> DataFrame:
+    """Tiles with stage positions in pixels (sx, sy): their translations in micrometers, x_um and y_um."""
+    return tiles.withColumns({f"{a}_um": F.col(f"s{a}") * pixel_size_um[a] for a in "xy"})
+
+
+def annotations_by_type(annotations: DataFrame, kind: str, order: str) -> DataFrame:
+    """image_id, type, items: an image's annotations (name, value) of each type, in order."""
+    items = F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), "name", "value")))
+    rows = annotations.groupBy("image_id", F.col(kind).alias("type")).agg(items.alias("items"))
+    return rows.withColumn("items", F.transform("items", lambda s: F.struct(s["name"].alias("name"), s["value"].alias("value"))))
+
+
+def first_of(rows: DataFrame, by: list[str], *order: str) -> DataFrame:
+    """The first row of each group: the series, image or node that counts where a file holds several."""
+    names = [c for c in rows.columns if c not in by]
+    picked = rows.groupBy(*by).agg(F.min_by(F.struct(*names), F.struct(*order)).alias("_r"))
+    return picked.select(*by, *[F.col(f"_r.`{c}`").alias(c) for c in names])
+
+
+def by_norm(points: DataFrame, *axes: str) -> DataFrame:
+    """Points in the order of their distance from the origin, with it."""
+    return points.withColumn("norm", F.sqrt(sum((F.col(a) * F.col(a) for a in axes[1:]), F.col(axes[0]) * F.col(axes[0])))).orderBy("norm")
+
+
+def external_metadata(images: DataFrame, records: DataFrame) -> DataFrame:
+    """images (image_id, title) with the first of the records (title, ord and more) of the same title, in either case."""
+    own = first_of(records.withColumn("_t", F.lower("title")).drop("title"), ["_t"], "ord")
+    return images.join(own, F.lower("title") == F.col("_t"), "left").drop("_t")

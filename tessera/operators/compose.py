@@ -73,3 +73,25 @@ def flatfield(px: DataFrame, dark: DataFrame, bright: DataFrame) -> DataFrame:
 def paste(px: DataFrame, order: str, *keys: str) -> DataFrame:
     """Tiles on a canvas: where they overlap the last one by `order` stays."""
     return px.groupBy(*keys).agg(F.max_by("v", order).alias("v"))
+
+
+def split_channels(px: DataFrame, n: int) -> list[DataFrame]:
+    """One image for each of n channels, without the channel axis; combine() puts them together again."""
+    return [px.where(F.col("c") == k).drop("c") for k in range(n)]
+
+
+def merge_channels(images: list[DataFrame]) -> DataFrame:
+    return combine([(px.withColumn("c", F.lit(0).cast("long")), 1) for px in images])
+
+
+def correct(px: DataFrame, dark: DataFrame, bright: DataFrame, dtype: str) -> DataFrame:
+    """Flat-field correction of an integer image: to 0 to 1, corrected by quantile images (y, x, v from 0 to 1), and back."""
+    found = flatfield(px.withColumn("v", pixels.int_to_float(F.col("v"), dtype)), dark, bright)
+    # a hair is added before the value is cut: it is off in its last digits
+    return found.withColumn("v", F.floor(F.col("v") * float(pixels.type_max(dtype)) + 1e-9).cast("long"))
+
+
+def stretch(px: DataFrame, windows: DataFrame, *by: str) -> DataFrame:
+    """Values from 0 to 1 between each group's low and high quantile (q0, q1)."""
+    rows = px.join(F.broadcast(windows), list(by)) if by else px.join(F.broadcast(windows), F.lit(True))
+    return rows.withColumn("v", pixels.normalise(F.col("v"), F.col("q0"), F.col("q1"))).drop("q0", "q1")

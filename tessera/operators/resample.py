@@ -36,21 +36,27 @@ def stride(px: DataFrame, fy: int, fx: int) -> DataFrame:
     return kept.withColumn("y", F.floor(F.col("y") / fy)).withColumn("x", F.floor(F.col("x") / fx))
 
 
-def _weighted(px: DataFrame, axis: str, weights: Column) -> DataFrame:
-    """weights: array<struct<o, w>> of where a pixel goes along the axis. Partial sums run before the shuffle."""
+#: Rows of a table of taps (24 bytes each) that is broadcast; a longer one is joined.
+MOST_TAPS = 1 << 20
+
+
+def _tapped(px: DataFrame, axis: str, taps: DataFrame, rows: int, mean: bool) -> DataFrame:
+    """taps: i, o, w: how much of the old pixel i goes into the new one o. The table grows with one axis only."""
     keys = [c for c in px.columns if c not in (axis, "v")]
-    rows = px.select(*keys, "v", F.explode(weights).alias("k"))
-    return rows.groupBy(*keys, F.col("k.o").alias(axis)).agg((F.sum(F.col("v") * F.col("k.w")) / F.sum("k.w")).alias("v")).select(*px.columns)
+    taps = F.broadcast(taps) if rows <= MOST_TAPS else taps
+    value = F.sum(F.col("v") * F.col("w"))
+    joined = px.join(taps, F.col(axis) == F.col("i")).select(*keys, "v", "w", F.col("o").alias(axis))
+    return joined.groupBy(*keys, axis).agg((value / F.sum("w") if mean else value).alias("v")).select(*px.columns)
 
 
 def area_resize(px: DataFrame, axis: str, old: int, new: int) -> DataFrame:
     """Means over the old pixels that a new one covers, by overlap."""
     s = old / new
-    i = F.col(axis)
+    i, o = F.col("i"), F.col("o")
     first, last = F.floor(i / s), F.least(F.ceil((i + 1) / s) - 1, F.lit(new - 1))
-    overlap = lambda o: F.least(i + 1.0, (o + 1) * s) - F.greatest(i * 1.0, o * s)
-    to = F.filter(F.transform(F.sequence(first, last), lambda o: F.struct(o.alias("o"), overlap(o).alias("w"))), lambda k: k["w"] > 1e-12)
-    return _weighted(px, axis, to)
+    taps = px.sparkSession.range(old).select(F.col("id").alias("i")).withColumn("o", F.explode(F.sequence(first, last)))
+    taps = taps.withColumn("w", F.least(i + 1.0, (o + 1) * s) - F.greatest(i * 1.0, o * s)).where("w > 1e-12")
+    return _tapped(px, axis, taps, old + new, True)
 
 
 def _cubic(d: Column, a: float = -0.75) -> Column:
@@ -61,16 +67,11 @@ def _cubic(d: Column, a: float = -0.75) -> Column:
 
 
 def cubic_resize(px: DataFrame, axis: str, old: int, new: int, a: float = -0.75) -> DataFrame:
-    """Four taps around each new pixel's centre; beyond the border the last pixel goes on. Works tap by tap from the old
-    pixels: those at the border also stand for the ones beyond it."""
-    s = old / new
-    i = F.col(axis)
-    reach = lambda lo, hi: F.sequence(F.greatest(F.floor((lo - 1.5) / s - 0.5), F.lit(0)).cast("long"), F.least(F.ceil((hi + 2.5) / s), F.lit(new - 1)).cast("long"))
-    centre = lambda o: (o + 0.5) * s - 0.5
-    copies = F.when(F.lit(old == 1), F.sequence(i - 3, i + 3)).when(i == 0, F.sequence(i - 2, i)).when(i == old - 1, F.sequence(i, i + 2)).otherwise(F.array(i))
-    weight = lambda o: F.aggregate(copies, F.lit(0.0), lambda acc, j: acc + _cubic(centre(o) - j, a))
-    to = F.filter(F.transform(reach(F.array_min(copies), F.array_max(copies)), lambda o: F.struct(o.alias("o"), weight(o).alias("w"))), lambda k: k["w"] != 0)
-    return _weighted(px, axis, to)
+    """Four taps around each new pixel's centre; beyond the border the last pixel goes on."""
+    centre = (F.col("o") + 0.5) * (old / new) - 0.5
+    taps = px.sparkSession.range(new).select(F.col("id").alias("o"), F.explode(F.sequence(F.lit(-1), F.lit(2))).alias("k")).withColumn("j", F.floor(centre) + F.col("k"))
+    taps = taps.withColumn("w", _cubic(centre - F.col("j"), a)).withColumn("i", F.least(F.greatest(F.col("j"), F.lit(0)), F.lit(old - 1)))
+    return _tapped(px, axis, taps.groupBy("i", "o").agg(F.sum("w").alias("w")).where("w <> 0"), 4 * new, True)
 
 
 def resize(px: DataFrame, height: int, width: int, new_height: int, new_width: int) -> DataFrame:
@@ -88,27 +89,16 @@ def gaussian(sigma: float, truncate: float = 4.0) -> list[float]:
     return [x / sum(w) for x in w]
 
 
-def _mirrored(i: Column, n: int) -> Column:
-    """Indices beyond the border, mirrored with the last pixel repeated."""
-    m = F.pmod(i, F.lit(2 * n))
-    return F.when(m < n, m).otherwise(2 * n - 1 - m)
-
-
 def blur(px: DataFrame, sigma: float, height: int, width: int) -> DataFrame:
-    """Gaussian blur along y and x; each pixel sends its weighted share to all that its mirrored copies reach."""
+    """Gaussian blur along y and x; beyond the border pixels are mirrored, the last one repeated."""
     weights = gaussian(sigma)
     r = len(weights) // 2
+    kernel = F.array(*[F.lit(w) for w in weights])
     for axis, n in (("x", width), ("y", height)):
-        keys = [c for c in px.columns if c not in (axis, "v")]
-        kernel = F.array(*[F.lit(w) for w in weights])
-        i = F.col(axis)
-        # the copies of pixel i in a row mirrored far enough: i, -1 - i, 2n - 1 - i and their periods
-        periods = range(-(r // (2 * n) + 1), r // (2 * n) + 2)
-        copies = F.array(*[x for p in periods for x in (i + 2 * n * p, -1 - i + 2 * n * p)])
-        offsets = F.sequence(F.lit(-r), F.lit(r))
-        to = F.flatten(F.transform(copies, lambda j: F.filter(F.transform(offsets, lambda d: F.struct((j + d).alias("o"), F.element_at(kernel, (d + r + 1).cast("int")).alias("w"))), lambda k: (k["o"] >= 0) & (k["o"] < n))))
-        rows = px.select(*keys, "v", F.explode(to).alias("k"))
-        px = rows.groupBy(*keys, F.col("k.o").alias(axis)).agg(F.sum(F.col("v") * F.col("k.w")).alias("v")).select(*px.columns)
+        taps = px.sparkSession.range(n).select(F.col("id").alias("o"), F.posexplode(kernel).alias("d", "w"))
+        at = F.pmod(F.col("o") + F.col("d") - r, F.lit(2 * n))
+        taps = taps.withColumn("i", F.when(at < n, at).otherwise(2 * n - 1 - at)).groupBy("i", "o").agg(F.sum("w").alias("w"))
+        px = _tapped(px, axis, taps, n * len(weights), False)
     return px
 
 
@@ -121,10 +111,12 @@ def pyramid(px: DataFrame, levels: int, downsample: int = 2, nearest: bool = Fal
     return out
 
 
-def pyramid_sizes(sizes: DataFrame, levels: int, downsample: float, columns: tuple[str, ...] = ("size_x", "size_y"), truncate: bool = False) -> DataFrame:
-    """One row for each level 1 to levels: half-even rounding and 1 at least, or truncation."""
+def pyramid_sizes(sizes: DataFrame, levels: int, downsample: float, columns: tuple[str, ...] = ("size_x", "size_y"), truncate: bool = False, volumetric: bool = False) -> DataFrame:
+    """One row for each level 1 to levels: half-even rounding and 1 at least, or truncation. volumetric: size_z shrinks, too,
+    where there are several planes."""
     rows = sizes.withColumn("level", F.explode(F.sequence(F.lit(1), F.lit(levels))))
     scaled = lambda c: F.col(c) / F.pow(F.lit(float(downsample)), F.col("level"))
-    for c in columns:
-        rows = rows.withColumn(c, scaled(c).cast("long") if truncate else F.greatest(F.rint(scaled(c)).cast("long"), F.lit(1).cast("long")))
+    for c in (*columns, "size_z") if volumetric else columns:
+        size = scaled(c).cast("long") if truncate else F.greatest(F.rint(scaled(c)).cast("long"), F.lit(1).cast("long"))
+        rows = rows.withColumn(c, F.when(F.col(c) > 1, size).otherwise(F.col(c)) if c == "size_z" else size)
     return rows

@@ -6,7 +6,7 @@ projection or one aggregation by integer keys, so regions reach the scan and til
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 AXES = ("t", "c", "z", "y", "x")
@@ -35,6 +35,25 @@ def slice_micrometers(px: DataFrame, pixel_size: dict[str, float], **bounds) ->
     return slice_region(px, **{a: tuple(round(v / pixel_size[a]) for v in b) for a, b in bounds.items()})
 
 
+def scale_slicing(scale: float, **bounds) -> dict:
+    """The x and y bounds of a region in a level of another scale, truncated; other axes stay."""
+    return {a: tuple(int(v * scale) for v in b) if a in "xy" and isinstance(b, tuple) else b for a, b in bounds.items()}
+
+
+def chunk_shape(tile: int | tuple[int, int], dimensions: int) -> tuple[int, ...]:
+    """A tile size (one number for squares, or width and height) as the chunk of an array with y and x last."""
+    width, height = (tile, tile) if isinstance(tile, int) else tile
+    return (1,) * (dimensions - 2) + (height, width)
+
+
+def patches(sizes: DataFrame, n: int, height: int, width: int, seed: int = 0) -> DataFrame:
+    """n patches at random places of each image (image_id, size_y, size_x): k, y0, x0. The places come from a digest, so they
+    are the same in every run and need no shuffle."""
+    rows = sizes.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    draw = lambda axis, room: F.pmod(F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit(axis), F.col("image_id").cast("string"), F.col("k").cast("string"))), 1, 12), 16, 10).cast("long"), F.greatest(room, F.lit(1)).cast("long"))
+    return rows.select("image_id", "k", draw("y", F.col("size_y") - height + 1).alias("y0"), draw("x", F.col("size_x") - width + 1).alias("x0"))
+
+
 def redimension(px: DataFrame, order: str, **index) -> DataFrame:
     """The axes of `order`: one that goes keeps an index (0 if not given), one that comes is 0."""
     for axis in AXES:
@@ -67,12 +86,21 @@ def tile_grid(sizes: DataFrame, height: int, width: int) -> DataFrame:
     return grid.withColumn("h", F.least(F.lit(height), F.col("size_y") - F.col("y0"))).withColumn("w", F.least(F.lit(width), F.col("size_x") - F.col("x0")))
 
 
+def _dense(p: Column, h: Column, w: Column) -> Column:
+    """Values in row order of sorted pixels (y, x, v) of an h x w tile; pixels that aren't there are 0. Linear in the tile:
+    a gap before a pixel is filled with as many zeros."""
+    at = lambda s: (s["y"] * w + s["x"]).cast("int")
+    before = lambda i: F.when(i == 0, F.lit(-1)).otherwise(at(F.get(p, i - 1)))
+    filled = F.flatten(F.transform(p, lambda s, i: F.concat(F.array_repeat(F.lit(0.0), at(s) - before(i) - 1), F.array(s["v"]))))
+    rest = F.array_repeat(F.lit(0.0), (h * w).cast("int") - 1 - at(F.element_at(p, -1)))
+    return F.when(F.size(p) == h * w, F.transform(p, lambda s: s["v"])).otherwise(F.concat(filled, rest))
+
+
 def pack(px: DataFrame, height: int, width: int, *by: str) -> DataFrame:
     """Tiles as arrays in row order: ty, tx, h, w, data; pixels without a row are 0."""
-    at = F.struct(((F.col("y") % height) * width + F.col("x") % width).alias("k"), F.col("v").cast("double").alias("v"))
-    rows = tiles(px, height, width).groupBy(*by, "ty", "tx").agg(F.map_from_entries(F.collect_list(at)).alias("m"), (F.max(F.col("y") % height) + 1).alias("h"), (F.max(F.col("x") % width) + 1).alias("w"))
-    data = F.transform(F.sequence(F.lit(0).cast("long"), F.col("h") * F.col("w") - 1), lambda k: F.coalesce(F.try_element_at(F.col("m"), F.floor(k / F.col("w")) * width + k % F.col("w")), F.lit(0.0)))
-    return rows.withColumn("data", data).drop("m")
+    at = F.struct((F.col("y") % height).alias("y"), (F.col("x") % width).alias("x"), F.col("v").cast("double").alias("v"))
+    rows = tiles(px, height, width).groupBy(*by, "ty", "tx").agg(F.sort_array(F.collect_list(at)).alias("_p"), (F.max(F.col("y") % height) + 1).alias("h"), (F.max(F.col("x") % width) + 1).alias("w"))
+    return rows.withColumn("data", _dense(F.col("_p"), F.col("h"), F.col("w"))).drop("_p")
 
 
 def unpack(chunks: DataFrame, height: int, width: int, *by: str) -> DataFrame:

@@ -49,9 +49,9 @@ def slice_micrometers(spark, sf_dir):
     return slicing.slice_micrometers(embedding_image(spark, sf_dir), {"x": 0.5, "y": 0.25}, x=(2.5, 15.0), y=(12.5, -1.0))
 
 
-@query(f"WITH {L_SQL} SELECT z, c, y, x, v FROM l WHERE t = 0")
+@query(f"WITH {L_SQL} SELECT z, c, y, x, v FROM l WHERE t = 3")
 def redimension_drop_t(spark, sf_dir):
-    return slicing.redimension(order_volume(spark, sf_dir), "zcyx")
+    return slicing.redimension(order_volume(spark, sf_dir), "zcyx", t=3)
 
 
 @query(f"WITH {E_SQL} SELECT CAST(0 AS BIGINT) AS t, CAST(0 AS BIGINT) AS c, CAST(0 AS BIGINT) AS z, y, x, v FROM e")
@@ -86,9 +86,16 @@ def tile_region(spark, sf_dir):
     return slicing.slice_region(slicing.unpack(slicing.covering(packed, 32, 32, 40, 90, 10, 50), 32, 32), y=(40, 90), x=(10, 50))
 
 
-@query(f"WITH {E_SQL}, g AS (SELECT gy.y, gx.x FROM generate_series(0, 519) gy(y), generate_series(0, 69) gx(x)) SELECT g.y, g.x, e.v FROM g JOIN e ON e.y = least(g.y, 499) AND e.x = least(g.x, 63)")
+def _height(px) -> int:
+    return int(slicing.shape(px, "y").first()[0])
+
+
+@query(f"""WITH {E_SQL}, n AS (SELECT max(y) + 1 AS n FROM e), gy AS (SELECT n, unnest(generate_series(0, n + 19)) AS y FROM n), g AS (SELECT n, y, unnest(generate_series(0, 69)) AS x FROM gy)
+SELECT g.y, g.x, e.v FROM g JOIN e ON e.y = least(g.y, n - 1) AND e.x = least(g.x, 63)""")
 def edge_pad(spark, sf_dir):
-    return slicing.reshape(embedding_image(spark, sf_dir).where("y < 500"), 500, 64, 520, 70)
+    px = embedding_image(spark, sf_dir)
+    n = _height(px)
+    return slicing.reshape(px, n, 64, n + 20, 70)
 
 
 @query(f"WITH {L_SQL}, g AS (SELECT a.y, b.x FROM generate_series(0, 49) a(y), generate_series(0, 10) b(x)) SELECT g.y, g.x, coalesce(s.v, 0) AS v FROM g LEFT JOIN (SELECT y, x, v FROM l WHERE t = 0 AND c = 0 AND z = 6) s USING (y, x)")
@@ -149,6 +156,20 @@ def pyramid_sizes_trunc(spark, sf_dir):
     return resample.pyramid_sizes(_sizes(spark, sf_dir), 5, 3.0, truncate=True).select("image_id", "level", "size_x", "size_y")
 
 
+@query(f"SELECT image_id, CAST(k AS INTEGER) AS level, greatest(CAST(round_even(size_x / pow(2, k), 0) AS BIGINT), 1) AS size_x, CASE WHEN z > 1 THEN greatest(CAST(round_even(z / pow(2, k), 0) AS BIGINT), 1) ELSE z END AS size_z FROM (SELECT *, image_id % 40 AS z FROM ({_SIZES})), generate_series(1, 4) g(k)")
+def pyramid_sizes_volume(spark, sf_dir):
+    sizes = _sizes(spark, sf_dir).withColumn("size_z", F.col("image_id") % 40)
+    return resample.pyramid_sizes(sizes, 4, 2.0, ("size_x",), volumetric=True).select("image_id", "level", "size_x", "size_z")
+
+
+_DRAW = "CAST('0x' || substr(md5('0:{a}:' || image_id || ':' || k), 1, 12) AS BIGINT) % greatest(size_{a} - {n} + 1, 1)"
+
+
+@query(f"SELECT image_id, CAST(k AS INTEGER) AS k, {_DRAW.format(a='y', n=256)} AS y0, {_DRAW.format(a='x', n=512)} AS x0 FROM ({_SIZES}), generate_series(0, 4) g(k)")
+def random_patches(spark, sf_dir):
+    return slicing.patches(_sizes(spark, sf_dir), 5, 256, 512)
+
+
 _LEVELS = f"SELECT image_id, CAST(k AS INTEGER) AS level, greatest(CAST(round_even(size_x / pow(2, k), 0) AS BIGINT), 1) AS size_x, greatest(CAST(round_even(size_y / pow(2, k), 0) AS BIGINT), 1) AS size_y FROM ({_SIZES}), generate_series(0, 5) g(k)"
 
 
@@ -188,11 +209,13 @@ def resize_cubic(spark, sf_dir):
 _KERNEL = ", ".join(f"({k - 4}, {w!r}::DOUBLE)" for k, w in enumerate(resample.gaussian(1.0)))
 
 
-@query(f"""WITH {E_SQL}, k(d, w) AS (VALUES {_KERNEL}), s AS (SELECT y, x, v FROM e WHERE y < 50),
-a AS (SELECT s.y, o.x, sum(s.v * k.w) AS v FROM generate_series(0, 63) o(x), k JOIN s ON s.x = CASE WHEN o.x + k.d < 0 THEN -1 - (o.x + k.d) WHEN o.x + k.d > 63 THEN 127 - (o.x + k.d) ELSE o.x + k.d END GROUP BY 1, 2)
-SELECT o.y, a.x, round(sum(a.v * k.w), 6) AS v FROM generate_series(0, 49) o(y), k JOIN a ON a.y = CASE WHEN o.y + k.d < 0 THEN -1 - (o.y + k.d) WHEN o.y + k.d > 49 THEN 99 - (o.y + k.d) ELSE o.y + k.d END GROUP BY 1, 2""")
+@query(f"""WITH {E_SQL}, k(d, w) AS (VALUES {_KERNEL}), n AS (SELECT max(y) + 1 AS n FROM e),
+a AS (SELECT e.y, o.x, sum(e.v * k.w) AS v FROM generate_series(0, 63) o(x), k JOIN e ON e.x = CASE WHEN o.x + k.d < 0 THEN -1 - (o.x + k.d) WHEN o.x + k.d > 63 THEN 127 - (o.x + k.d) ELSE o.x + k.d END GROUP BY 1, 2),
+o AS (SELECT n, unnest(generate_series(0, n - 1)) AS y FROM n), t AS (SELECT o.y, k.w, CASE WHEN o.y + k.d < 0 THEN -1 - (o.y + k.d) WHEN o.y + k.d >= n THEN 2 * n - 1 - (o.y + k.d) ELSE o.y + k.d END AS i FROM o, k)
+SELECT t.y, CAST(a.x AS BIGINT) AS x, round(sum(a.v * t.w), 6) AS v FROM t JOIN a ON a.y = t.i GROUP BY 1, 2""")
 def blur(spark, sf_dir):
-    return _rounded(resample.blur(embedding_image(spark, sf_dir).where("y < 50"), 1.0, 50, 64), "v")
+    px = embedding_image(spark, sf_dir)
+    return _rounded(resample.blur(px, 1.0, _height(px), 64), "v")
 
 
 # values
@@ -200,7 +223,7 @@ def blur(spark, sf_dir):
 
 @query(f"WITH {V_SQL} SELECT c, round(quantile_cont(v::DOUBLE, 0.001), 6) AS q0, round(quantile_cont(v::DOUBLE, 0.999), 6) AS q1 FROM w GROUP BY c")
 def quantile_window(spark, sf_dir):
-    return _rounded(measure.quantiles(event_volume(spark, sf_dir), [0.001, 0.999], "c"), "q0", "q1")
+    return _rounded(measure.channel_quantiles(event_volume(spark, sf_dir), [0.001, 0.999], "c"), "q0", "q1")
 
 
 @query(f"""WITH {E8_SQL}, a AS (SELECT y // 2 AS y, x // 2 AS x, avg(v) AS v FROM e8 GROUP BY 1, 2) SELECT CAST(x % 3 AS BIGINT) AS c, round(quantile_cont(v::DOUBLE, 0.001), 6) AS q0, round(quantile_cont(v::DOUBLE, 0.999), 6) AS q1 FROM a GROUP BY 1""")
@@ -225,6 +248,21 @@ def sign_convert(spark, sf_dir):
     return embedding_bytes(spark, sf_dir).select("y", "x", s.alias("s"), pixels.convert_sign(s, "int8", "uint8").alias("u"))
 
 
+@query(f"""WITH {E8_SQL}, q AS (SELECT x % 4 AS c, quantile_cont(v::DOUBLE, 0.05) AS q0, quantile_cont(v::DOUBLE, 0.95) AS q1 FROM e8 GROUP BY 1)
+SELECT CAST(c AS BIGINT) AS c, y, x, round(greatest(least((v - q0) / (q1 - q0), 1.0), 0.0), 9) AS v FROM e8 JOIN q ON c = x % 4""")
+def stretch(spark, sf_dir):
+    px = embedding_bytes(spark, sf_dir).select((F.col("x") % 4).alias("c"), "y", "x", "v")
+    return _rounded(compose.stretch(px, measure.channel_quantiles(px, [0.05, 0.95], "c"), "c"), "v", digits=9).select("c", "y", "x", "v")
+
+
+@query(f"""WITH {E_SQL}, a AS (SELECT y // 2 AS y, x // 2 AS x, avg(v) AS v FROM e GROUP BY 1, 2), q AS (SELECT x % 3 AS c, quantile_cont(v, 0.001) AS q0, quantile_cont(v, 0.999) AS q1 FROM a GROUP BY 1)
+SELECT CAST(g.c AS BIGINT) AS c, 0.0::DOUBLE AS start, 65535.0::DOUBLE AS "end", round(CASE g.c WHEN 1 THEN 5.0 ELSE coalesce(q0, 0.0) END, 6) AS min, round(CASE g.c WHEN 1 THEN 7.0 ELSE coalesce(q1, 65535.0) END, 6) AS max FROM generate_series(0, 3) g(c) LEFT JOIN q ON q.c = g.c""")
+def display_window(spark, sf_dir):
+    levels = resample.pyramid(embedding_image(spark, sf_dir), 1).withColumn("c", F.col("x") % 3)
+    given = spark.createDataFrame([(0, None, None), (1, 5.0, 7.0), (2, None, None), (3, None, None)], "c long, min double, max double")
+    return _rounded(measure.display_windows(levels, given, "uint16"), "min", "max")
+
+
 # channels
 
 
@@ -253,6 +291,13 @@ def combine_channels(spark, sf_dir):
     return compose.combine([(p, 2), (p.withColumn("v", -F.col("v")), 2), (e.where("x < 32").select(F.lit(0).cast("long").alias("c"), "y", "x", "v"), 1)])
 
 
+@query(f"WITH {E_SQL} SELECT CAST((x + 1) % 3 AS BIGINT) AS c, y, CAST(x // 3 AS BIGINT) AS x, v FROM e")
+def split_merge(spark, sf_dir):
+    px = embedding_image(spark, sf_dir).select((F.col("x") % 3).alias("c"), "y", F.floor(F.col("x") / 3).alias("x"), "v")
+    a, b, c = compose.split_channels(px, 3)
+    return compose.merge_channels([c, a, b]).select("c", "y", "x", "v")
+
+
 @query("""SELECT n_nationkey AS k, CASE WHEN lower(l) NOT IN ('', 'minisblack', 'miniswhite', 'rgb', 'palette', 'ycbcr', 'cielab') THEN l WHEN n > 1 THEN n_name || '#' || c ELSE n_name END AS label
 FROM (SELECT n_nationkey, n_name, n_nationkey % 4 AS c, CASE n_nationkey % 3 WHEN 0 THEN 'RGB' WHEN 1 THEN 'DAPI' ELSE '' END AS l, 1 + n_nationkey % 2 AS n FROM nation)""")
 def channel_labels(spark, sf_dir):
@@ -303,6 +348,21 @@ def flatfield(spark, sf_dir):
     return _rounded(out.select("tile", "c", "y", "x", "v"), "v")
 
 
+@query(f"""WITH {_TILES}, d AS (SELECT y, x, quantile_cont(v / 255.0::DOUBLE, 0.05) AS d, quantile_cont(v / 255.0::DOUBLE, 0.95) AS b FROM p GROUP BY 1, 2), m AS (SELECT avg(b - d) AS m FROM d)
+SELECT CAST(tile AS BIGINT) AS tile, c, y, x, CAST(floor(greatest(least((v / 255.0::DOUBLE - d) * m / (b - d), 1.0), 0.0) * 255.0 + 1e-9) AS BIGINT) AS v FROM p JOIN d USING (y, x), m""")
+def flatfield_bytes(spark, sf_dir):
+    px = _tiles(spark, sf_dir)
+    q = measure.quantiles(px.withColumn("v", pixels.int_to_float(F.col("v"), "uint8")), [0.05, 0.95], "y", "x")
+    return compose.correct(px, q.select("y", "x", F.col("q0").alias("v")), q.select("y", "x", F.col("q1").alias("v")), "uint8").select("tile", "c", "y", "x", "v")
+
+
+@query(f"""WITH {_TILES}, m AS (SELECT c, y, x, median(v::DOUBLE) AS m FROM p GROUP BY 1, 2, 3), s AS (SELECT tile, avg(abs(v - m)) AS signal FROM p JOIN m USING (c, y, x) GROUP BY tile),
+k AS (SELECT p.* FROM p JOIN s USING (tile) WHERE signal < (SELECT avg(signal) FROM s))
+SELECT c, y, x, 0 AS k, round(quantile_cont(v::DOUBLE, 0.05) / 255, 6) AS v FROM k GROUP BY 1, 2, 3 UNION ALL SELECT c, y, x, 1, round(quantile_cont(v::DOUBLE, 0.95) / 255, 6) FROM k GROUP BY 1, 2, 3""")
+def normalisation_images(spark, sf_dir):
+    return _rounded(measure.normalisation_images(_tiles(spark, sf_dir), [0.05, 0.95], 255.0), "v")
+
+
 @query(f"WITH {E8_SQL} SELECT CAST(y % 40 AS BIGINT) AS y, x, arg_max(v, y) AS v FROM e8 GROUP BY 1, 2")
 def paste_tiles(spark, sf_dir):
     px = embedding_bytes(spark, sf_dir).select((F.col("y") % 40).alias("cy"), "x", "v", F.col("y").alias("seq"))
@@ -397,17 +457,14 @@ def rotation_text(spark, sf_dir):
 
 @query("SELECT p_partkey, p_size * 100 * 0.25::DOUBLE AS width_um, p_size * 80 * 0.5::DOUBLE AS height_um FROM part")
 def physical_size(spark, sf_dir):
-    size, pixel = F.array((F.col("p_size") * 100).cast("double"), (F.col("p_size") * 80).cast("double")), F.array(F.lit(0.25), F.lit(0.5))
-    both = F.zip_with(size, pixel, lambda s, p: s * p)
+    both = units.physical_size(F.array((F.col("p_size") * 100).cast("double"), (F.col("p_size") * 80).cast("double"), F.lit(1.0)), F.array(F.lit(0.25), F.lit(0.5)))
     return table(spark, sf_dir, "part").select("p_partkey", both[0].alias("width_um"), both[1].alias("height_um"))
 
 
 @query(f"""WITH v AS ({_LEVELS}) SELECT image_id, 'XYZCT: ' || string_agg(size_x || ' ' || size_y || ' 1 3 1', ', ' ORDER BY level) || ' Uncompressed: ' || CAST(sum(size_x * size_y * 3) AS BIGINT) AS info FROM v GROUP BY image_id""")
 def image_info(spark, sf_dir):
     levels = _levels(spark, sf_dir).withColumns({"size_z": F.lit(1), "size_c": F.lit(3), "size_t": F.lit(1), "nbits": F.lit(8)})
-    text = levels.groupBy("image_id").agg(F.sort_array(F.collect_list(F.struct("level", F.concat_ws(" ", *[f"size_{a}" for a in "xyzct"]).alias("s")))).alias("l"))
-    rows = text.join(measure.uncompressed_bytes(levels, "image_id"), "image_id")
-    return rows.select("image_id", F.concat(F.lit("XYZCT: "), F.array_join(F.transform("l", lambda s: s["s"]), ", "), F.lit(" Uncompressed: "), F.col("n_bytes").cast("string")).alias("info"))
+    return measure.image_info(levels, "image_id")
 
 
 @query(f"SELECT image_id, CAST(sum(size_x * size_y * 4096) AS BIGINT) AS n_bytes, sum(size_x * size_y * 4096) > 4294967296 AS big FROM ({_LEVELS}) GROUP BY image_id")
@@ -439,6 +496,31 @@ def desc_map(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", F.try_element_at(m, F.lit("AppMag")).alias("app_mag"), F.try_element_at(m, F.lit("Name")).alias("name"), F.try_element_at(m, F.lit("nothing here")).alias("missing"))
 
 
+@query("SELECT p_partkey, CAST(p_size AS VARCHAR) AS size, p_brand AS brand FROM part")
+def desc_literal(spark, sf_dir):
+    text = F.concat(F.lit("{'Size': "), F.col("p_size").cast("string"), F.lit(", 'Brand': '"), F.col("p_brand"), F.lit("'}"))
+    m = metadata.description_map(text)
+    return table(spark, sf_dir, "part").select("p_partkey", F.try_element_at(m, F.lit("Size")).alias("size"), F.try_element_at(m, F.lit("Brand")).alias("brand"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN 0 ELSE 1 END AS n, coalesce(CASE WHEN p_size % 3 = 0 THEN NULL ELSE p_brand END, 'none') AS brand, CASE WHEN p_size > 10 THEN p_size::DOUBLE WHEN p_size % 2 = 1 THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END AS pixel_size FROM part")
+def defaults(spark, sf_dir):
+    brand = F.when(F.col("p_size") % 3 != 0, F.col("p_brand"))
+    chosen = units.chosen_pixel_size(F.when(F.col("p_size") > 10, F.col("p_size").cast("double")).otherwise(-1.0), F.when(F.col("p_size") % 2 == 1, 0.5))
+    return table(spark, sf_dir, "part").select("p_partkey", F.size(metadata.ensure_list(brand)).alias("n"), metadata.default(brand, "none").alias("brand"), chosen.alias("pixel_size"))
+
+
+@query("SELECT p_partkey, p_brand AS \"ImageWidth\", p_type AS \"65000\" FROM part")
+def tag_names(spark, sf_dir):
+    m = metadata.tag_names(F.create_map(F.lit(256), F.col("p_brand"), F.lit(65000), F.col("p_type")), {256: "ImageWidth", 257: "ImageLength"})
+    return table(spark, sf_dir, "part").select("p_partkey", m["ImageWidth"].alias("ImageWidth"), m["65000"].alias("65000"))
+
+
+@query("SELECT page_id, regexp_extract(url, '[^/]+$') LIKE '%.%' OR regexp_matches(url, '\\.zarr/?$') AS image FROM pages")
+def image_paths(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", metadata.is_image_path(F.col("url")).alias("image"))
+
+
 @query("SELECT page_id, regexp_replace(regexp_replace(regexp_extract(url, '[^/]+$'), '\\.[^.]*$', ''), '[.ome]+$', '') AS title, regexp_replace(regexp_replace(regexp_extract(url || '/home.ome.tiff', '[^/]+$'), '\\.[^.]*$', ''), '\\.ome$', '') AS strict, lower(regexp_extract(url, '\\.[^./]+$')) AS extension FROM pages")
 def filetitle(spark, sf_dir):
     url = F.col("url")
@@ -508,6 +590,26 @@ def label_table(spark, sf_dir):
     return collection.label_table(images, _annotations(spark, sf_dir), ["User", "Assistant"], "turn", "tiff")
 
 
+@query("SELECT conv_id AS image_id, role AS type, count(*) AS n, string_agg(turn || '=' || length(text), ';' ORDER BY turn) AS items FROM conversations WHERE text IS NOT NULL GROUP BY 1, 2")
+def annotations_grouped(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").where("text is not null").select(F.col("conv_id").alias("image_id"), "role", F.col("turn").cast("string").alias("name"), F.length("text").cast("string").alias("value"), "turn")
+    found = collection.annotations_by_type(rows, "role", "turn")
+    return found.select("image_id", "type", F.size("items").cast("long").alias("n"), F.array_join(F.transform("items", lambda s: F.concat_ws("=", s["name"], s["value"])), ";").alias("items"))
+
+
+@query("SELECT n_regionkey, arg_min(n_nationkey, n_name) AS n_nationkey, min(n_name) AS n_name FROM nation GROUP BY 1")
+def first_of_group(spark, sf_dir):
+    return collection.first_of(table(spark, sf_dir, "nation").select("n_regionkey", "n_nationkey", "n_name"), ["n_regionkey"], "n_name")
+
+
+@query("""WITH r AS (SELECT lower(n_name) AS t, n_nationkey, n_regionkey, row_number() OVER (PARTITION BY lower(n_name) ORDER BY n_nationkey) AS k FROM nation)
+SELECT c_custkey AS image_id, title, r.n_nationkey AS ord, r.n_regionkey AS project FROM (SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN 'none' ELSE upper(n_name) END AS title FROM customer JOIN nation ON c_nationkey = n_nationkey) LEFT JOIN r ON lower(title) = t AND k = 1""")
+def external_metadata(spark, sf_dir):
+    c, n = table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation")
+    images = c.join(n, c["c_nationkey"] == n["n_nationkey"]).select(F.col("c_custkey").alias("image_id"), F.when(F.col("c_custkey") % 5 == 0, "none").otherwise(F.upper("n_name")).alias("title"))
+    return collection.external_metadata(images, n.select(F.col("n_name").alias("title"), F.col("n_nationkey").alias("ord"), F.col("n_regionkey").alias("project")))
+
+
 _LAYOUT = "SELECT s_suppkey AS tile, CAST(s_suppkey % 9 AS BIGINT) AS sx, CAST(s_suppkey // 9 AS BIGINT) AS sy FROM supplier"
 
 
@@ -530,7 +632,7 @@ def layout_match(spark, sf_dir):
 
 @query(f"WITH t AS ({_LAYOUT}) SELECT tile, sx * 0.65::DOUBLE AS x_um, sy * 0.65::DOUBLE AS y_um FROM t")
 def stage_translation(spark, sf_dir):
-    return _layout(spark, sf_dir).select("tile", (F.col("sx") * 0.65).alias("x_um"), (F.col("sy") * 0.65).alias("y_um"))
+    return collection.stage_positions(_layout(spark, sf_dir), {"x": 0.65, "y": 0.65}).select("tile", "x_um", "y_um")
 
 
 _POINTS = "SELECT p_partkey AS id, (p_partkey * 7919 % 1009)::DOUBLE AS x, (p_partkey * 104729 % 997)::DOUBLE AS y, p_size::DOUBLE AS r FROM part"
@@ -541,6 +643,11 @@ def _points(spark, sf_dir):
     return table(spark, sf_dir, "part").select(k.alias("id"), (k * 7919 % 1009).cast("double").alias("x"), (k * 104729 % 997).cast("double").alias("y"), F.col("p_size").cast("double").alias("r"))
 
 
+@query(f"WITH p AS ({_POINTS}) SELECT id, x, y, r, round(sqrt(x * x + y * y), 9) AS norm FROM p")
+def sort_by_norm(spark, sf_dir):
+    return _rounded(collection.by_norm(_points(spark, sf_dir), "x", "y"), "norm", digits=9)
+
+
 @query(f"WITH p AS ({_POINTS}) SELECT a.id AS a, b.id AS b FROM p a, p b WHERE (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) > 0 AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) < 625 AND b.r < a.r")
 def neighbours(spark, sf_dir):
     return collection.neighbours(_points(spark, sf_dir), 25.0)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import metadata
-from ..operators import compose, resample
+from ..operators import compose, resample, slicing
 from ..sources import formats, sink
 
 log = logging.getLogger(__name__)
@@ -55,14 +55,9 @@ def info(spark: SparkSession, path: str) -> DataFrame:
 
 def _tiles(px: DataFrame, image_id: str, size: int = formats.TILE) -> DataFrame:
     """Long form to tiles; pixels without a row are 0."""
-    keys = ["level", "t", "c", "z"]
-    at = F.struct((F.col("y") % size).cast("int").alias("y"), (F.col("x") % size).cast("int").alias("x"), F.col("v").cast("double").alias("v"))
-    rows = px.withColumn("y0", F.floor(F.col("y") / size) * size).withColumn("x0", F.floor(F.col("x") / size) * size)
-    rows = rows.groupBy(*keys, "y0", "x0").agg(F.sort_array(F.collect_list(at)).alias("p"), (F.max(F.col("y") % size) + 1).alias("h"), (F.max(F.col("x") % size) + 1).alias("w"))
-    full = F.size("p") == F.col("h") * F.col("w")
-    m = F.map_from_entries(F.transform("p", lambda s: F.struct(s["y"] * F.col("w") + s["x"], s["v"])))
-    data = F.when(full, F.transform("p", lambda s: s["v"])).otherwise(F.transform(F.sequence(F.lit(0).cast("long"), F.col("h") * F.col("w") - 1), lambda k: F.coalesce(F.try_element_at(m, k), F.lit(0.0))))
-    return rows.select(F.lit(image_id).alias("image_id"), F.col("level").cast("int").alias("level"), *keys[1:], "y0", "x0", "h", "w", F.lit("float64").alias("dtype"), data.alias("data"))
+    rows = slicing.pack(px, size, size, "level", "t", "c", "z")
+    place = [(F.col("ty") * size).alias("y0"), (F.col("tx") * size).alias("x0")]
+    return rows.select(F.lit(image_id).alias("image_id"), F.col("level").cast("int").alias("level"), "t", "c", "z", *place, "h", "w", F.lit("float64").alias("dtype"), "data")
 
 
 def convert(spark: SparkSession, path: str, job: Job) -> str:

@@ -1,16 +1,19 @@
-"""Files as images: TIFF (uncompressed or deflate), PNM and chunked arrays, decoded by numpy on the executors.
+"""Files as images: TIFF (uncompressed, deflate, LZW, PackBits), PNM, BMP and chunked arrays, decoded by numpy on the executors.
 
-Files are read by Spark (binaryFile), so any store that Spark reaches will do; a task decodes one file at a time and
-returns tiles, never a whole image as one value of a row.
+read() takes whole files through Spark (binaryFile), so any store that Spark reaches will do; a task decodes one file at a
+time, whose bytes it holds, and returns tiles. tiff_segments() and decode_segments() read byte ranges instead: a row for
+each stored tile comes first, filters on level and region drop rows, and only what is left is fetched and decoded.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -64,57 +67,162 @@ class Page:
             yield plane, y, x, h if tiled else min(h, height - y), w, offset, n
 
 
-def tiff_pages(data: bytes) -> list[Page]:
-    order = {b"II": "<", b"MM": ">"}.get(data[:2])
-    if order is None or (version := struct.unpack(f"{order}H", data[2:4])[0]) not in (42, 43):
+class Ranged:
+    """Bytes of a file by position, fetched in blocks; a store is named by its URI."""
+
+    BLOCK = 1 << 16
+
+    def __init__(self, path: str):
+        import pyarrow.fs as fs
+
+        store, at = fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", path) if ":" in path else f"file://{path}")
+        self.file, self.blocks = store.open_input_file(at), {}
+
+    def __call__(self, at: int, n: int) -> bytes:
+        if n > self.BLOCK:
+            return self.file.read_at(n, at)
+        out = b""
+        for k in range(at // self.BLOCK, (at + n - 1) // self.BLOCK + 1):
+            if k not in self.blocks:
+                self.blocks[k] = self.file.read_at(self.BLOCK, k * self.BLOCK)
+            out += self.blocks[k]
+        start = at - at // self.BLOCK * self.BLOCK
+        return out[start : start + n]
+
+
+def tiff_pages(data: bytes | Ranged) -> list[Page]:
+    """The directories of a file, given as its bytes or as a function of position and length."""
+    read = data if callable(data) else lambda at, n: data[at : at + n]
+    head = read(0, 16)
+    order = {b"II": "<", b"MM": ">"}.get(head[:2])
+    if order is None or (version := struct.unpack(f"{order}H", head[2:4])[0]) not in (42, 43):
         raise ValueError("not a TIFF file")
     big = version == 43
+    room, word = (8, "Q") if big else (4, "I")
+
+    def number(code: str, raw: bytes) -> int:
+        return struct.unpack_from(order + code, raw)[0]
+
+    def value(entry: bytes):
+        tag, kind = struct.unpack_from(f"{order}HH", entry)
+        if kind not in _KIND or tag not in _TAG:
+            return None
+        count = number(word, entry[4:])
+        code, width = _KIND[kind]
+        raw = entry[4 + room :] if width * count <= room else read(number(word, entry[4 + room :]), width * count)
+        if code == "s":
+            return raw[:count].split(b"\0")[0].decode("utf-8", "replace")
+        values = struct.unpack_from(f"{order}{len(code) * count}{code[0]}", raw)
+        return tuple(zip(values[::2], values[1::2], strict=True)) if len(code) == 2 else values
 
     def directory(at: int) -> tuple[Page, int]:
-        page = Page(order)
-        n, at = (struct.unpack_from(f"{order}Q", data, at)[0], at + 8) if big else (struct.unpack_from(f"{order}H", data, at)[0], at + 2)
-        room = 8 if big else 4
-        for _ in range(n):
-            tag, kind = struct.unpack_from(f"{order}HH", data, at)
-            count = struct.unpack_from(f"{order}{'Q' if big else 'I'}", data, at + 4)[0]
-            value_at = at + 4 + room
-            if kind in _KIND and tag in _TAG:
-                code, width = _KIND[kind]
-                if width * count > room:
-                    value_at = struct.unpack_from(f"{order}{'Q' if big else 'I'}", data, value_at)[0]
-                if code == "s":
-                    page.tags[_TAG[tag]] = data[value_at : value_at + count].split(b"\0")[0].decode("utf-8", "replace")
-                else:
-                    values = struct.unpack_from(f"{order}{len(code) * count}{code[0]}", data, value_at)
-                    page.tags[_TAG[tag]] = tuple(zip(values[::2], values[1::2], strict=True)) if len(code) == 2 else values
-            at += 4 + room + room
+        page, n = Page(order), number("Q" if big else "H", read(at, 8))
+        at += 8 if big else 2
+        size = 4 + 2 * room
+        rows = read(at, n * size + room)
+        for k in range(n):
+            entry = rows[k * size : (k + 1) * size]
+            if (v := value(entry)) is not None:
+                page.tags[_TAG[number("H", entry)]] = v
         for below in page.tags.get("sub_ifds", ()):
             page.sub.append(directory(below)[0])
-        return page, struct.unpack_from(f"{order}{'Q' if big else 'I'}", data, at)[0]
+        return page, number(word, rows[n * size :])
 
-    pages, at = [], struct.unpack_from(f"{order}{'Q' if big else 'I'}", data, 8 if big else 4)[0]
-    while at:
+    pages, at, seen = [], number(word, head[8 if big else 4 :]), set()
+    while at and at not in seen:
+        seen.add(at)
         page, at = directory(at)
         pages.append(page)
     return pages
 
 
-def decode_segment(page: Page, data: bytes, rows: int, columns: int) -> np.ndarray:
-    """rows x columns x samples of one tile or strip."""
-    how = page.get("compression", 1)
-    if how in (8, 32946):
-        data = zlib.decompress(data)
-    elif how != 1:
+def planes(pages: list[Page]) -> list[list[Page]]:
+    """Pages as planes, each a list of levels: sub-directories are levels, and so are pages in a row that get smaller."""
+    out: list[list[Page]] = []
+    for page in pages:
+        size = page.shape[:2]
+        if out and size < out[0][0].shape[:2] and all(a < b for a, b in zip(size, out[-1][-1].shape[:2], strict=True)):
+            out[-1].append(page)
+        elif not out or size == out[0][0].shape[:2]:
+            out.append([page, *page.sub])
+    return out
+
+
+def place(index: int, sizes: dict[str, int], order: str) -> dict[str, int]:
+    """t, c, z of the index-th plane; order: the axes, the fastest first."""
+    out = {"t": 0, "c": 0, "z": 0}
+    for axis in order.lower():
+        if axis in out:
+            index, out[axis] = divmod(index, max(1, sizes.get(axis, 1)))
+    return out
+
+
+def unpack_lzw(data: bytes) -> bytes:
+    """Codes of 9 to 12 bits, highest bit first; 256 starts anew, 257 ends."""
+    first = [bytes([k]) for k in range(256)] + [b"", b""]
+    table, out, last, width, have, bits = list(first), [], b"", 9, 0, 0
+    for byte in data:
+        bits, have = bits << 8 | byte, have + 8
+        if have < width:
+            continue
+        have -= width
+        code, bits = bits >> have, bits & (1 << have) - 1
+        if code == 257:
+            break
+        if code == 256:
+            table, last, width = list(first), b"", 9
+            continue
+        entry = table[code] if code < len(table) else last + last[:1]
+        out.append(entry)
+        if last:
+            table.append(last + entry[:1])
+        last = entry
+        width = 9 if len(table) < 511 else 10 if len(table) < 1023 else 11 if len(table) < 2047 else 12
+    return b"".join(out)
+
+
+def unpack_bits(data: bytes) -> bytes:
+    """Runs: a count below 128 copies so many bytes and one, above 128 repeats the next byte 257 less the count times."""
+    out, at = bytearray(), 0
+    while at < len(data):
+        n = data[at]
+        if n < 128:
+            out += data[at + 1 : at + 2 + n]
+            at += n + 2
+        else:
+            out += data[at + 1 : at + 2] * (257 - n) if n > 128 else b""
+            at += 2 if n > 128 else 1
+    return bytes(out)
+
+
+UNPACK = {1: lambda data: data, 5: unpack_lzw, 8: zlib.decompress, 32946: zlib.decompress, 32773: unpack_bits}
+
+
+def decode_block(data: bytes, how: int, dtype: np.dtype, shape: tuple[int, int, int], predictor: int) -> np.ndarray:
+    """rows x columns x samples of one tile or strip. Other codecs can be put into UNPACK."""
+    if how not in UNPACK:
         raise ValueError(f"TIFF compression {how} needs a codec that isn't installed")
+    data = UNPACK[how](data)
+    if predictor == 3:  # bytes of a row by significance, as differences
+        rows, columns, samples = shape
+        raw = np.frombuffer(data, np.uint8, rows * columns * samples * dtype.itemsize).reshape(rows, -1, samples)
+        raw = np.cumsum(raw, axis=1, dtype=np.uint8).reshape(rows, dtype.itemsize, columns * samples)
+        return np.ascontiguousarray(raw.transpose(0, 2, 1)).view(dtype.newbyteorder(">")).reshape(shape).astype(dtype.newbyteorder("="))
+    if predictor not in (1, 2):
+        raise ValueError(f"TIFF predictor {predictor} is unknown")
+    out = np.frombuffer(data, dtype, int(np.prod(shape))).reshape(shape)
+    return np.cumsum(out, axis=1, dtype=out.dtype) if predictor == 2 else out
+
+
+def decode_segment(page: Page, data: bytes, rows: int, columns: int) -> np.ndarray:
     samples = 1 if page.get("planar", 1) == 2 else page.get("samples", 1)
-    out = np.frombuffer(data, page.dtype, rows * columns * samples).reshape(rows, columns, samples)
-    return np.cumsum(out, axis=1, dtype=out.dtype) if page.get("predictor", 1) == 2 else out
+    return decode_block(data, page.get("compression", 1), page.dtype, (rows, columns, samples), page.get("predictor", 1))
 
 
 def tiff_tiles(data: bytes) -> Iterator[tuple[int, int, int, int, int, np.ndarray]]:
     """Level, z, c, y0, x0 and values of every stored tile, clipped to the image."""
-    for z, top in enumerate(tiff_pages(data)):
-        for level, page in enumerate([top, *top.sub]):
+    for z, levels in enumerate(planes(tiff_pages(data))):
+        for level, page in enumerate(levels):
             height, width, _ = page.shape
             for plane, y, x, h, w, offset, n in page.segments():
                 tile = decode_segment(page, data[offset : offset + n], h, w)[: height - y, : width - x]
@@ -122,6 +230,92 @@ def tiff_tiles(data: bytes) -> Iterator[tuple[int, int, int, int, int, np.ndarra
                     yield level, z, plane + k, y, x, tile[:, :, k]
 
 
+SEGMENT = "image_id string, level int, t long, c long, z long, y0 long, x0 long, rows long, columns long, height long, width long, offset long, bytes long, compression int, predictor int, samples int, dtype string"
+
+
+def tiff_segments(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+    """A row for each stored tile or strip of the TIFF files below a path, read from their directories alone. c is the first
+    of `samples` channels."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select("path")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from . import annotations
+
+        for b in batches:
+            for name in b.column(0).to_pylist():
+                found = planes(tiff_pages(Ranged(name)))
+                sizes, order = annotations.plane_sizes(found[0][0]) if found else ({}, "")
+                rows = []
+                for k, levels in enumerate(found):
+                    at = place(k, sizes, order) if sizes else {"t": 0, "c": 0, "z": k}
+                    for level, page in enumerate(levels):
+                        height, width, _ = page.shape
+                        samples = 1 if page.get("planar", 1) == 2 else page.get("samples", 1)
+                        for plane, y, x, h, w, offset, n in page.segments():
+                            rows.append((name, level, at["t"], at["c"] + plane, at["z"], y, x, h, w, height, width, offset, n, page.get("compression", 1), page.get("predictor", 1), samples, page.dtype.str))
+                for lo in range(0, len(rows), 10_000):
+                    yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows[lo : lo + 10_000]], t) for k, t in enumerate(_arrow(SEGMENT))], _names(SEGMENT))
+
+    return files.mapInArrow(run, SEGMENT)
+
+
+def touching(segments: DataFrame, level: int | None = None, **bounds) -> DataFrame:
+    """Only segments that a region touches: bounds as of slice_region()."""
+    if level is not None:
+        segments = segments.where(F.col("level") == level)
+    extent = {"x": ("x0", "columns"), "y": ("y0", "rows"), "c": ("c", "samples")}
+    for axis, b in bounds.items():
+        start, end = b if isinstance(b, tuple) else (b, b + 1) if b is not None else (0, None)
+        at, n = (F.col(extent[axis][0]), F.col(extent[axis][1])) if axis in extent else (F.col(axis), F.lit(1))
+        segments = segments.where(at + n > (start or 0))
+        if end is not None and end >= 0:
+            segments = segments.where(at < end)
+    return segments
+
+
+def decode_segments(segments: DataFrame) -> DataFrame:
+    """CHUNK rows of the segments that are left; neighbours in a file go to one task, which fetches their byte ranges."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, read, out = _names(SEGMENT), {}, []
+        for b in batches:
+            for values in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                r = dict(zip(names, values, strict=True))
+                if r["image_id"] not in read:
+                    read = {r["image_id"]: Ranged(r["image_id"])}
+                tile = decode_block(read[r["image_id"]].file.read_at(r["bytes"], r["offset"]), r["compression"], np.dtype(r["dtype"]), (r["rows"], r["columns"], r["samples"]), r["predictor"])
+                tile = tile[: r["height"] - r["y0"], : r["width"] - r["x0"]]
+                for k in range(tile.shape[2]):
+                    v = tile[:, :, k]
+                    out.append((r["image_id"], r["level"], r["t"], r["c"] + k, r["z"], r["y0"], r["x0"], *v.shape, v.dtype.name, v.astype(np.float64).ravel()))
+                if len(out) >= 16:
+                    yield chunk_batch(out)
+                    out = []
+        if out:
+            yield chunk_batch(out)
+
+    return segments.repartitionByRange("image_id", "offset").sortWithinPartitions("image_id", "offset").mapInArrow(run, CHUNK)
+
+
+def _names(schema: str) -> list[str]:
+    return [x.split()[0] for x in schema.split(", ")]
+
+
+def _arrow(schema: str) -> list[pa.DataType]:
+    kinds = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "array<double>": pa.list_(pa.float64())}
+    return [kinds[x.split()[1]] for x in schema.split(", ")]
+
+
+def chunk_batch(rows: list[tuple]) -> pa.RecordBatch:
+    """Rows of CHUNK as one batch."""
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(_arrow(CHUNK))], _names(CHUNK))
+
+
+def batched(rows: Iterator[tuple], n: int = 16) -> Iterator[pa.RecordBatch]:
+    while part := list(islice(rows, n)):
+        yield chunk_batch(part)
+
+
 def pnm(data: bytes) -> np.ndarray:
     """height x width x channels of a binary PGM or PPM file."""
     at, words = 0, []
@@ -142,6 +336,17 @@ def pnm(data: bytes) -> np.ndarray:
     return np.frombuffer(data, ">u2" if top > 255 else "u1", width * height * channels, at + 1).reshape(height, width, channels)
 
 
+def bmp(data: bytes) -> np.ndarray:
+    """height x width x channels of an uncompressed BMP file of 8 (gray), 24 or 32 bits."""
+    start, header, width, height, _, bits, packed = struct.unpack_from("<4xI I ii HH I", data, 6)
+    if packed not in (0, 3) or bits not in (8, 24, 32):
+        raise ValueError("not an uncompressed BMP file of 8, 24 or 32 bits")
+    stride = (width * bits // 8 + 3) // 4 * 4
+    rows = np.frombuffer(data, np.uint8, stride * abs(height), start).reshape(abs(height), stride)[:, : width * bits // 8].reshape(abs(height), width, bits // 8)
+    rows = rows if height < 0 else rows[::-1]
+    return rows if bits == 8 else rows[:, :, 2::-1]
+
+
 def _cut(values: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
     for y in range(0, values.shape[0], TILE):
         for x in range(0, values.shape[1], TILE):
@@ -150,8 +355,8 @@ def _cut(values: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
 
 def decode(path: str, data: bytes) -> Iterator[tuple]:
     """Rows of CHUNK."""
-    if path.lower().endswith((".pgm", ".ppm", ".pnm")):
-        image = pnm(data)
+    if path.lower().endswith((".pgm", ".ppm", ".pnm", ".bmp")):
+        image = bmp(data) if path.lower().endswith(".bmp") else pnm(data)
         found = ((0, 0, k, y, x, v) for k in range(image.shape[2]) for y, x, v in _cut(image[:, :, k]))
     else:
         found = ((level, z, c, y + dy, x + dx, v) for level, z, c, y, x, tile in tiff_tiles(data) for dy, dx, v in _cut(tile))
@@ -162,53 +367,147 @@ def decode(path: str, data: bytes) -> Iterator[tuple]:
 def read(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """Tiles of all images below a path, as CHUNK."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select("path", "content")
-    names = [x.split()[0] for x in CHUNK.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for name, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                for row in decode(name, data):
-                    kinds = (pa.string(), pa.int32(), *[pa.int64()] * 7, pa.string(), pa.list_(pa.float64()))
-                    yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names=names)
+                yield from batched(decode(name, data))
 
     return files.mapInArrow(run, CHUNK)
 
 
-def array_store(spark: SparkSession, path: str) -> DataFrame:
-    """A chunked array folder of version 2 (.zarray beside chunks named by index; raw or zlib) as CHUNK. Chunks are files
-    to Spark: one that isn't there holds the fill value and has no row."""
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """A small text file of any store that Spark reaches, also one whose name Spark's readers pass over; None: it isn't there."""
     jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(f"{path}/.zarray")  # Spark's readers pass over names with a dot in front
-    stream = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(at)
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    store = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not store.exists(at):
+        return None
+    stream = store.open(at)
     try:
-        meta = json.loads(jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        return jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
     finally:
         stream.close()
-    codec = (meta.get("compressor") or {}).get("id")
-    if codec not in (None, "zlib", "gzip"):
-        raise ValueError(f"codec {codec} isn't installed")
-    shape, chunk, dtype, split = meta["shape"], meta["chunks"], np.dtype(meta["dtype"]), meta.get("dimension_separator", ".")
-    rank = len(shape)
+
+
+@dataclass
+class Array:
+    """The metadata of a chunked array, version 2 or 3."""
+
+    shape: list[int]
+    chunk: list[int]
+    dtype: np.dtype
+    codec: str | None
+    separator: str
+    prefix: str
+    layout: str = "C"
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> "Array":
+        if (text := read_text(spark, f"{path}/.zarray")) is not None:
+            m = json.loads(text)
+            return cls(m["shape"], m["chunks"], np.dtype(m["dtype"]), (m.get("compressor") or {}).get("id"), m.get("dimension_separator", "."), "", m.get("order", "C"))
+        if (text := read_text(spark, f"{path}/zarr.json")) is None:
+            raise FileNotFoundError(f"no array at {path}")
+        m = json.loads(text)
+        keys = m.get("chunk_key_encoding", {"name": "default"})
+        default = keys["name"] == "default"
+        codecs = {c["name"]: c.get("configuration", {}) for c in m["codecs"]}
+        order = ">" if codecs.get("bytes", {}).get("endian") == "big" else "<"
+        packed = [c for c in codecs if c not in ("bytes", "crc32c")]
+        return cls(m["shape"], m["chunk_grid"]["configuration"]["chunk_shape"], np.dtype(m["data_type"]).newbyteorder(order), packed[0] if packed else None, keys.get("configuration", {}).get("separator", "/" if default else "."), "c" if default else "")
+
+    def unpack(self, data: bytes) -> np.ndarray:
+        if self.codec in ("zlib", "gzip"):
+            data = zlib.decompress(data, 47)
+        elif self.codec == "zstd":
+            import zstandard  # in the library's own dependencies; only such arrays need it
+
+            data = zstandard.ZstdDecompressor().decompressobj().decompress(data)
+        elif self.codec is not None:
+            raise ValueError(f"codec {self.codec} isn't installed")
+        return np.frombuffer(data, self.dtype, int(np.prod(self.chunk))).reshape(self.chunk, order=self.layout)
+
+    def index(self, name: str) -> list[int]:
+        rank = len(self.shape)
+        parts = name.rsplit("/", rank)[1:] if self.separator == "/" else name.rsplit("/", 1)[1].removeprefix(f"{self.prefix}.").split(".")
+        return [int(k) for k in parts]
+
+    def glob(self) -> str:
+        inner = "/".join(["*"] * len(self.shape)) if self.separator == "/" else f"{self.prefix}.*" if self.prefix else "[0-9]*"
+        return f"{self.prefix}/{inner}" if self.prefix and self.separator == "/" else inner
+
+
+def array_store(spark: SparkSession, path: str, level: int = 0, image_id: str | None = None) -> DataFrame:
+    """A chunked array folder of version 2 or 3 (raw, zlib, gzip or zstd) as CHUNK. Chunks are files to Spark: one that isn't
+    there holds the fill value and has no row."""
+    meta = Array.load(spark, path)
+    rank, name_of = len(meta.shape), image_id or path
     if rank > 5 or rank < 2:
         raise ValueError(f"arrays of {rank} dimensions are not images")
-    glob = "/".join(["*"] * rank) if split == "/" else "[0-9]*"
-    names = [x.split()[0] for x in CHUNK.split(", ")]
+
+    def rows(name: str, data: bytes) -> Iterator[tuple]:
+        start = [i * c for i, c in zip(meta.index(name), meta.chunk, strict=True)]
+        values = meta.unpack(data)[tuple(slice(0, n - s) for n, s in zip(meta.shape, start, strict=True))]
+        values, first = values.reshape((1,) * (5 - rank) + values.shape), [0] * (5 - rank) + start
+        for t, c, z in np.ndindex(values.shape[:3]):
+            v = values[t, c, z]
+            yield name_of, level, first[0] + t, first[1] + c, first[2] + z, first[3], first[4], *v.shape, v.dtype.name, v.astype(np.float64).ravel()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for name, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                index = [int(k) for k in name.replace(split, "/").rsplit("/", rank)[1:]] if split == "." else [int(k) for k in name.rsplit("/", rank)[1:]]
-                values = np.frombuffer(zlib.decompress(data, 47) if codec else data, dtype).reshape(chunk, order=meta.get("order", "C"))
-                start = [i * c for i, c in zip(index, chunk, strict=True)]
-                values = values[tuple(slice(0, n - s) for n, s in zip(shape, start, strict=True))].reshape((1,) * (5 - rank) + tuple(min(c, n - s) for c, n, s in zip(chunk, shape, start, strict=True)))
-                first = [0] * (5 - rank) + start
-                for t, c, z in np.ndindex(values.shape[:3]):
-                    v = values[t, c, z]
-                    row = (path, 0, first[0] + t, first[1] + c, first[2] + z, first[3], first[4], *v.shape, v.dtype.name, v.astype(np.float64).ravel())
-                    kinds = (pa.string(), pa.int32(), *[pa.int64()] * 7, pa.string(), pa.list_(pa.float64()))
-                    yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], names=names)
+                yield from batched(rows(name, data))
+
+    return spark.read.format("binaryFile").load(f"{path}/{meta.glob()}").select("path", "content").mapInArrow(run, CHUNK)
+
+
+def group_attributes(spark: SparkSession, path: str) -> dict | None:
+    """The multiscale attributes of a group, version 2 or 3; None: it is no group."""
+    if (text := read_text(spark, f"{path}/.zattrs")) is not None and "multiscales" in (found := json.loads(text)):
+        return found
+    if (text := read_text(spark, f"{path}/zarr.json")) is not None:
+        found = json.loads(text).get("attributes", {})
+        found = found.get("ome", found)
+        return found if "multiscales" in found else None
+    return None
+
+
+def group_metadata(attributes: dict) -> dict:
+    """pixel_size and position by axis (value, unit; (1, "") and (0, "") for an axis that isn't there), channels, paths of
+    the levels and the scale of each."""
+    image = attributes["multiscales"][0]
+    axes = [a if isinstance(a, dict) else {"name": a} for a in image.get("axes", list("tczyx"))]
+    steps = [{t["type"]: t[t["type"]] for t in d.get("coordinateTransformations", [])} for d in image["datasets"]]
+    size, position = {a: (1, "") for a in "xyz"}, {a: (0, "") for a in "xyz"}
+    for k, a in enumerate(axes):
+        if a["name"] in size:
+            unit = a.get("unit", "")
+            size[a["name"]] = (steps[0].get("scale", [1] * len(axes))[k], unit)
+            position[a["name"]] = (steps[0].get("translation", [0] * len(axes))[k], unit)
+    channels = attributes.get("omero", {}).get("channels", [])
+    return {"name": image.get("name", ""), "axes": [a["name"] for a in axes], "pixel_size": size, "position": position, "channels": channels, "paths": [d["path"] for d in image["datasets"]], "scales": [s.get("scale") for s in steps]}
+
+
+def zarr(spark: SparkSession, path: str) -> DataFrame:
+    """A group with all its levels, or a single array, as CHUNK."""
+    path = path.rstrip("/")
+    if (attributes := group_attributes(spark, path)) is None:
+        return array_store(spark, path if read_text(spark, f"{path}/.zarray") or read_text(spark, f"{path}/zarr.json") else f"{path}/0", image_id=path)
+    out = None
+    for level, inner in enumerate(group_metadata(attributes)["paths"]):
+        rows = array_store(spark, f"{path}/{inner}", level, path)
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
 
-    return spark.read.format("binaryFile").load(f"{path}/{glob}").select("path", "content").mapInArrow(run, CHUNK)
+def tiff(spark: SparkSession, path: str) -> DataFrame:
+    """All tiles of a TIFF file, by byte ranges; where the store has no such reader, by whole files."""
+    try:
+        Ranged(path)
+    except Exception:  # a store that only Spark reads
+        return read(spark, path)
+    return decode_segments(tiff_segments(spark, path))
 
 
 def pixels_of(chunks: DataFrame) -> DataFrame:
@@ -223,7 +522,7 @@ def catalog(chunks: DataFrame) -> DataFrame:
 
 
 #: Readers by extension; others register theirs here.
-READERS = {".tif": read, ".tiff": read, ".ome.tiff": read, ".pgm": read, ".ppm": read, ".pnm": read, ".zarr": array_store, ".parquet": lambda spark, path: spark.read.parquet(path)}
+READERS = {".tif": tiff, ".tiff": tiff, ".pgm": read, ".ppm": read, ".pnm": read, ".bmp": read, ".zarr": zarr, ".parquet": lambda spark, path: spark.read.parquet(path)}
 
 
 def open_image(spark: SparkSession, path: str) -> DataFrame:

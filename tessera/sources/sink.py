@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 
 
 def write_tiles(chunks: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Parquet by image and level: a reader of one level or region opens only its files and row groups."""
-    chunks.repartition("image_id", "level").sortWithinPartitions("image_id", "level", "c", "y0", "x0").write.mode(mode).partitionBy("image_id", "level").option("compression", "zstd").parquet(path)
+    """Parquet by image and level: a reader of one level or region opens only its files and row groups. Tasks get ranges of
+    rows of tiles, so that a large level is written by many."""
+    chunks.repartitionByRange("image_id", "level", "z", "y0").sortWithinPartitions("image_id", "level", "c", "y0", "x0").write.mode(mode).partitionBy("image_id", "level").option("compression", "zstd").parquet(path)
 
 
 def replace_tiles(old: DataFrame, new: DataFrame) -> DataFrame:

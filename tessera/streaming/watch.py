@@ -15,14 +15,11 @@ def tiles(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """A streaming DataFrame of CHUNK rows."""
     schema = "path string, modificationTime timestamp, length long, content binary"
     files = spark.readStream.format("binaryFile").schema(schema).option("pathGlobFilter", pattern).load(path).select("path", "content")
-    names = [x.split()[0] for x in formats.CHUNK.split(", ")]
-    kinds = (pa.string(), pa.int32(), *[pa.int64()] * 7, pa.string(), pa.list_(pa.float64()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for name, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                for row in formats.decode(name, data):
-                    yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names=names)
+                yield from formats.batched(formats.decode(name, data))
 
     return files.mapInArrow(run, formats.CHUNK)
 
