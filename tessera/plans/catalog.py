@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import color, metadata, pixels, units
 from ..operators import collection, compose, measure, resample, slicing
-from . import planner
+from . import access, planner
 from .views import E8_SQL, E_SQL, L_SQL, V_SQL, embedding_bytes, embedding_image, event_volume, order_volume, table
 
 _found: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -49,6 +49,24 @@ def slice_micrometers(spark, sf_dir):
     return slicing.slice_micrometers(embedding_image(spark, sf_dir), {"x": 0.5, "y": 0.25}, x=(2.5, 15.0), y=(12.5, -1.0))
 
 
+@query(f"""WITH {E_SQL}, n AS (SELECT CAST(max(y) + 1 AS BIGINT) AS n FROM e), a AS (SELECT y // 2 AS y, x // 2 AS x, avg(v) AS v FROM e GROUP BY 1, 2),
+r AS (SELECT y - 12 AS y, x - 2 AS x, v FROM a WHERE x >= 2 AND x < 24 AND y >= 12 AND y < 72),
+kx AS (SELECT i, unnest(generate_series(CAST(floor(i / (22.0::DOUBLE / 18)) AS INTEGER), least(CAST(ceil((i + 1) / (22.0::DOUBLE / 18)) AS INTEGER) - 1, 17))) AS o FROM generate_series(0, 21) g(i)),
+wx AS (SELECT i, o, least(i + 1.0, (o + 1) * (22.0::DOUBLE / 18)) - greatest(i * 1.0, o * (22.0::DOUBLE / 18)) AS w FROM kx), hx AS (SELECT y, o AS x, sum(v * w) / sum(w) AS v FROM r JOIN wx ON x = i WHERE w > 1e-12 GROUP BY 1, 2),
+ky AS (SELECT i, unnest(generate_series(CAST(floor(i / (60.0::DOUBLE / 50)) AS INTEGER), least(CAST(ceil((i + 1) / (60.0::DOUBLE / 50)) AS INTEGER) - 1, 49))) AS o FROM generate_series(0, 59) g(i)),
+wy AS (SELECT i, o, least(i + 1.0, (o + 1) * (60.0::DOUBLE / 50)) - greatest(i * 1.0, o * (60.0::DOUBLE / 50)) AS w FROM ky)
+SELECT CAST(o AS BIGINT) AS y, CAST(x AS BIGINT) AS x, round(sum(v * w) / sum(w), 6) AS v FROM hx JOIN wy ON y = i WHERE w > 1e-12 GROUP BY 1, 2""")
+def region_at_pixel_size(spark, sf_dir):
+    """Pixels of 0.5 micrometers wanted at 1.2: level 1 is read and resized by 5 / 6."""
+    px = embedding_image(spark, sf_dir)
+    n = _height(px)
+    levels = spark.createDataFrame([(0, k, 64 >> k, n >> k, 0.5 / 1.2) for k in range(3)], "image_id long, level int, size_x long, size_y long, target double")
+    best = planner.best_level(levels).first()
+    pyramid = resample.pyramid(px, 2).where(F.col("level") == best["level"]).drop("level")
+    sizes = {"x": 64 >> best["level"], "y": n >> best["level"]}
+    return _rounded(access.resized_region(pyramid, sizes, (best["factor_x"], best["factor_y"]), x=(2, 20), y=(10, 60)), "v")
+
+
 @query(f"WITH {L_SQL} SELECT z, c, y, x, v FROM l WHERE t = 3")
 def redimension_drop_t(spark, sf_dir):
     return slicing.redimension(order_volume(spark, sf_dir), "zcyx", t=3)
