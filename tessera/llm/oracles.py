@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .licenses import COSINE, FILE_SHARE, TEMPLATES, TRIGGER
+from .licenses import BREAK, COSINE, FILE_SHARE, MOST_TERMS, SPLIT, TEMPLATES, TRIGGER
 from .url_filter import ORACLE_SQL as URL_FILTERS
 
 EMBEDDINGS = r"""
@@ -28,29 +28,32 @@ c AS (SELECT k.doc_id, k.size, b.source_size, b.target, b.epochs, CAST(floor(b.t
 SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, round(target, 6) AS target, CAST(epochs * size + greatest(0, least(size, room)) AS BIGINT) AS taken FROM c
 """
 
-_ROWS = ", ".join("('{}', '{}')".format(n, s.replace("'", "''")) for n, s in TEMPLATES)
-# RE2 has no look-around, which the terms' points need (2.0 is a term, "name." is not): a point between digits is set apart
-# first, so that the split leaves it
-_POINT = r"regexp_replace(regexp_replace(lower({}), '([0-9])\.([0-9])', '\1~\2', 'g'), '([0-9])\.([0-9])', '\1~\2', 'g')"
-_TERMS = r"list_transform(list_filter(regexp_split_to_array(regexp_replace(" + _POINT + r", '[^a-z0-9~]+', ' ', 'g'), ' '), lambda x: x <> ''), lambda x: replace(x, '~', '.'))"
+_ROWS = ", ".join("({}, '{}', '{}')".format(k, n, t.replace("'", "''")) for k, (n, t) in enumerate(TEMPLATES))
+_TERMS = f"list_filter(regexp_split_to_array(lower({{}}), '{SPLIT}'), lambda x: x <> '')"
+_WORDS = r"len(regexp_extract_all({}, '[^\x20\x09-\x0D]+'))"
 
 LICENSES = rf"""
-WITH tpl(license, statement) AS (VALUES {_ROWS}),
+WITH tpl(template, license, statement) AS (VALUES {_ROWS}),
 files AS (SELECT doc_id, coalesce(source, '-') || '/' || coalesce(lang, '-') AS dir, coalesce(text, '') AS text FROM documents),
-tt AS (SELECT license, term, count(*)::DOUBLE AS tf FROM (SELECT license, unnest({_TERMS.format("statement")}) AS term FROM tpl) GROUP BY ALL),
+tt AS (SELECT template, license, term, count(*)::DOUBLE AS tf FROM (SELECT template, license, unnest({_TERMS.format("statement")}) AS term FROM tpl) GROUP BY ALL),
 known AS (SELECT DISTINCT term FROM tt),
 n AS (SELECT count(*)::DOUBLE AS n FROM files),
 df AS (SELECT term, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest({_TERMS.format("text")}) AS term FROM files) JOIN known USING (term) GROUP BY term),
 idf AS (SELECT term, ln((n + 1) / (coalesce(df, 0) + 1)) + 1 AS idf FROM known LEFT JOIN df USING (term), n),
-tv AS (SELECT license, term, tf * idf AS w, sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY license)) AS norm FROM tt JOIN idf USING (term)),
-li AS (SELECT DISTINCT doc_id, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM files) WHERE regexp_matches(lower(line), '{TRIGGER}')),
+tv AS (SELECT template, license, term, tf * idf AS w, sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY template)) AS norm FROM tt JOIN idf USING (term)),
+told AS (SELECT doc_id, text, regexp_split_to_array(text, '{BREAK}') AS parts FROM files WHERE regexp_matches(lower(text), '{TRIGGER}')),
+raw AS (SELECT doc_id, 0 AS kind, unnest(string_split(text, chr(10))) AS line FROM told
+  UNION ALL SELECT doc_id, 1, line FROM (SELECT doc_id, unnest(parts) AS line FROM told) WHERE contains(line, chr(10)) AND len({_TERMS.format("line")}) <= {MOST_TERMS}
+  UNION ALL SELECT doc_id, 2, text FROM told WHERE len(parts) > 1 AND len({_TERMS.format("text")}) <= {MOST_TERMS}),
+li AS (SELECT DISTINCT doc_id, kind, line FROM raw WHERE regexp_matches(lower(line), '{TRIGGER}')),
 lt AS (SELECT line, term, count(*)::DOUBLE AS tf FROM (SELECT line, unnest({_TERMS.format("line")}) AS term FROM (SELECT DISTINCT line FROM li)) GROUP BY ALL),
 lv AS (SELECT line, term, tf * coalesce(idf, ln(n + 1) + 1) AS w FROM lt LEFT JOIN idf USING (term), n),
 ln AS (SELECT line, sqrt(sum(w * w)) AS norm FROM lv GROUP BY line),
-s AS (SELECT lv.line, license, round(sum(lv.w * tv.w / tv.norm) / any_value(ln.norm), 9) AS cosine FROM lv JOIN tv USING (term) JOIN ln ON ln.line = lv.line GROUP BY ALL),
+s AS (SELECT lv.line, license, template, round(sum(lv.w * tv.w / tv.norm) / any_value(ln.norm), 9) AS cosine FROM lv JOIN tv USING (term) JOIN ln ON ln.line = lv.line GROUP BY ALL),
 best AS (SELECT line, max((cosine, license)) AS b FROM s GROUP BY line HAVING max(cosine) >= {COSINE}),
-own AS (SELECT doc_id, max((b[1], b[2], line)) AS m, sum(len(regexp_extract_all(line, '[^\x20\x09-\x0D]+'))) AS words FROM li JOIN best USING (line) GROUP BY doc_id),
-spk AS (SELECT dir, max(m) AS g FROM own JOIN files USING (doc_id) WHERE words >= {FILE_SHARE} * len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) GROUP BY dir)
+kinds AS (SELECT doc_id, kind, max((b[1], b[2], line)) AS m, sum({_WORDS.format("line")}) AS words FROM li JOIN best USING (line) GROUP BY ALL),
+own AS (SELECT doc_id, max(m) AS m, max(words) AS words FROM kinds GROUP BY doc_id),
+spk AS (SELECT dir, max(m) AS g FROM own JOIN files USING (doc_id) WHERE words >= {FILE_SHARE} * {_WORDS.format("text")} GROUP BY dir)
 SELECT f.doc_id, coalesce(o.m[2], g[2]) AS license, coalesce(o.m[1], g[1]) AS cosine, coalesce(o.m[3], g[3]) AS line, CASE WHEN o.m IS NOT NULL THEN 'own' WHEN g IS NOT NULL THEN 'inherited' ELSE 'none' END AS how,
   CASE WHEN o.m IS NOT NULL OR g IS NOT NULL THEN f.dir END AS folder
 FROM files f LEFT JOIN own o USING (doc_id) LEFT JOIN spk ON spk.dir = f.dir
