@@ -4,7 +4,7 @@ import corpus_pipeline
 from tessera.llm import queries
 from tessera.llm.common import materialize
 
-from .helpers import documents
+from .helpers import crowded, documents
 
 
 def prose(rng, n):
@@ -45,3 +45,20 @@ def test_registered():
     names = sorted(queries.queries(), key=lambda n: int(n[2:].split("_")[0]))
     assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 11))
     assert set(queries.oracle_sql()) <= set(names)
+
+
+def test_odd_rows(spark, tmp_path):
+    """Nulls in every column, repeated rows, clashing columns and empty tables go through all stages."""
+    rng = np.random.default_rng(1)
+    texts = [prose(rng, int(rng.integers(60, 120))) for _ in range(40)]
+    texts[0] = texts[1] = None
+    texts[2] = ""
+    texts[4] = texts[3]
+    docs = crowded(documents(spark, texts, sources=[None if k % 5 == 0 else "a" for k in range(40)], langs=[None if k % 2 else "en" for k in range(40)], ids=[None if k % 7 == 6 else 3 if k == 4 else k for k in range(40)]))
+    for start in (docs, docs.limit(0)):
+        at = start
+        for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+            at, _ = materialize(stage(spark, at, ""), name)
+            assert k == 4 or at.columns == docs.columns
+        rows = at.collect()
+        assert (len(rows) > 0) == (start is docs) and all(r["round_trip"] for r in rows)
