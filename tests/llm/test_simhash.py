@@ -80,16 +80,17 @@ def test_components_across_shards_and_blocks(spark, limits):
     assert _links(spark, points, **limits) == want
 
 
-def test_connected_at_random(spark):
+@pytest.mark.parametrize("few", [0, None])
+def test_connected_at_random(spark, few):
     rng = np.random.default_rng(6)
     pairs = [tuple(map(int, rng.integers(0, 400, 2))) for _ in range(260)] + [(1000 + k, 1001 + k) for k in range(60)] + [(2000, 2001 + k) for k in range(80)]
     names = sorted({x for p in pairs for x in p})
     at = {x: k for k, x in enumerate(names)}
     low = components(len(names), [(at[a], at[b]) for a, b in pairs])
     linked = {x for a, b in pairs if a != b for x in (a, b)}
-    got = {r["node"]: r["component"] for r in connected(spark.createDataFrame(pairs, "a long, b long").repartition(7)).collect()}
+    got = {r["node"]: r["component"] for r in connected(spark.createDataFrame(pairs, "a long, b long").repartition(7), few).collect()}
     assert got == {x: names[low[at[x]]] for x in linked}
-    assert connected(spark.createDataFrame([], "a long, b long")).collect() == []
+    assert connected(spark.createDataFrame([], "a long, b long"), few).collect() == []
 
 
 def test_query(spark):
