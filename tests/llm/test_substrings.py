@@ -140,7 +140,7 @@ def test_blocks_find_what_stars_miss(spark, monkeypatch, block):
     base, far = [f"w{k}" for k in range(40)], [f"v{k}" for k in range(40)]
     texts = [[f"q{k}" for k in range(40)], base, [*base[:-1], "z"], [f"u{k}" for k in range(40)], far, [*far[:-1], "z"], ["a", *far[1:]], ["b", *base[1:]]]
     sets = [sorted(hash(x) for x in shingles(t)) for t in texts]
-    members = spark.createDataFrame([(0, 0, k, 0) for k in range(len(texts))]  # the first one is like none, "band int, value int, cid long, first long")
+    members = spark.createDataFrame([(0, 0, k, 0) for k in range(len(texts))], "band int, value int, cid long, first long")
     held = spark.createDataFrame(list(enumerate(sets)), "cid long, shingles array<long>")
     for parts in ([], [(1, 1), (2, 1), (7, 1)], [(4, 4), (5, 4), (6, 4)]):
         links = S._left_over(members, spark.createDataFrame(parts, "node long, component long"), held).collect()
