@@ -349,10 +349,8 @@ def _verified(pairs: DataFrame) -> DataFrame:
     return pairs.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def _block_links(group: pa.Table) -> pa.Table:
+def _block_links(ids: list[int], parts: list[int], odd: list[bool], sets: list[list[int]]) -> list[tuple[int, int]]:
     """Links between members of different components: of the odd ones with the others of the block pair."""
-    ids, parts, odd = group["cid"].to_pylist(), group["component"].to_pylist(), group["odd"].to_pylist()
-    sets = group["shingles"].to_pylist()
     sizes = np.array([len(s) for s in sets])
     holders: dict[int, list[int]] = defaultdict(list)
     for k, s in enumerate(sets):
@@ -366,18 +364,40 @@ def _block_links(group: pa.Table) -> pa.Table:
             p = root[p]
         return p
 
-    a, b = [], []
+    out = []
     for k, s in enumerate(sets):
-        at = np.concatenate([np.array(holders[x], np.int64) for x in s if x in holders] or [np.empty(0, np.int64)])
-        if len(at):
-            both = np.bincount(at, minlength=len(sets))
-            for j in np.flatnonzero((both > 0) & (both >= JACCARD * (sizes + sizes[k] - both))).tolist():
-                p, q = part(parts[j]), part(parts[k])
-                if p != q:
-                    a.append(ids[j])
-                    b.append(ids[k])
-                    root[p] = q
-    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        held = [holders[x] for x in s if x in holders]
+        if not held:
+            continue
+        both = np.bincount(np.concatenate(held), minlength=len(sets))
+        for j in np.flatnonzero((both > 0) & (both >= JACCARD * (sizes + sizes[k] - both))).tolist():
+            p, q = part(parts[j]), part(parts[k])
+            if p != q:
+                out.append((ids[j], ids[k]))
+                root[p] = q
+    return out
+
+
+def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """a, b of rows sorted by band, value, i, j (then cid, component, odd, shingles): block pair after block pair, many of
+    them small, without a call for each."""
+    key, rows, found = None, [], []
+
+    def ended() -> None:
+        if len(rows) > 1:
+            found.extend(_block_links(*map(list, zip(*rows, strict=True))))
+
+    for b in batches:
+        columns = [c.to_pylist() for c in b.columns]
+        for now, row in zip(zip(*columns[:4], strict=True), zip(*columns[4:], strict=True), strict=True):
+            if now != key:
+                ended()
+                key, rows = now, []
+            rows.append(row)
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in range(2)], ["a", "b"])
+        found.clear()
+    ended()
+    yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in range(2)], ["a", "b"])
 
 
 def _left_over(inside: DataFrame, parts: DataFrame, found: DataFrame) -> DataFrame | None:
@@ -403,7 +423,8 @@ def _left_over(inside: DataFrame, parts: DataFrame, found: DataFrame) -> DataFra
     left = left.withColumns({"odd": odd, "own": own})
     left = left.select("band", "value", "cid", "component", "odd", F.explode(F.when(F.col("odd"), F.concat(meet_odd, meet_main)).otherwise(come_main)).alias("at"))
     left = left.select("band", "value", "at.i", "at.j", "cid", "component", "odd").join(found, "cid")
-    return left.groupBy("band", "value", "i", "j").applyInArrow(_block_links, "a long, b long")
+    keys = ["band", "value", "i", "j"]
+    return left.select(*keys, "cid", "component", "odd", "shingles").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_linked, "a long, b long")
 
 
 def _near(classes: DataFrame, docs: DataFrame) -> DataFrame:
