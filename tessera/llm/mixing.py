@@ -7,7 +7,8 @@ the one that crosses the budget enters with its first words only, so that each s
 
 The prefix sum never sorts a source in one task. Weights have few levels, so the distribution of keys in a source is
 known from its counts by level, and each document falls by its key into one of n / ROWS equally filled buckets. Sums of
-buckets are prefix-summed; only the one bucket that crosses the budget is sorted.
+buckets are prefix-summed. In the one bucket that crosses the budget, rows are counted by key, id and size, and these
+counts are sorted: they give the place of the cut, with which every document is compared.
 """
 
 from __future__ import annotations
@@ -79,12 +80,36 @@ def _bucket() -> Column:
     return F.floor(below / n * F.ceil(n / ROWS)).cast("long")
 
 
+def _cuts(narrow: DataFrame, info: DataFrame) -> DataFrame:
+    """Where each source's budget ends in the order by _key, _id, _size: _c (the source), _ck, _ci, _cs (there), _left (words
+    left for the rows that stand there) and _ties (how many do). Rows that stand at one place are counted, not sorted."""
+    inside = narrow.join(info, F.col("_source").eqNullSafe(F.col("_s"))).where(_bucket() == F.col("_crossing"))
+    places = inside.groupBy("_s", "_key", "_id", "_size").agg(F.count("*").alias("_ties"), F.first(F.col("_rest") - F.col("_before")).alias("_room"))
+    own = F.col("_ties") * F.col("_size")
+    left = F.col("_room") + own - F.sum(own).over(Window.partitionBy("_s").orderBy("_key", "_id", "_size"))
+    places = places.withColumn("_left", left).where((F.col("_left") >= 0) & (F.col("_left") < own))
+    return places.select(F.col("_s").alias("_c"), F.col("_key").alias("_ck"), F.col("_id").alias("_ci"), F.col("_size").alias("_cs"), "_left", "_ties")
+
+
+def _numbered(tied: DataFrame) -> DataFrame:
+    """The rows at each source's cut with _tie, their number from 0, counted by pieces of the table: however many rows share
+    a place, no task sorts more than a piece. Written first, so that a row keeps its number."""
+    tied, _ = materialize(tied.withColumn("_uid", F.monotonically_increasing_id()), "mix-ties")
+    tied = tied.withColumn("_piece", F.shiftright("_uid", 33))
+    counts = tied.groupBy(F.col("_source").alias("_t"), F.col("_piece").alias("_p")).agg(F.count("*").alias("_n"))
+    before = counts.select("_t", "_p", (F.sum("_n").over(Window.partitionBy("_t").orderBy("_p")) - F.col("_n")).alias("_earlier"))
+    found = tied.join(before, F.col("_source").eqNullSafe(F.col("_t")) & (F.col("_piece") == F.col("_p")))
+    own = F.row_number().over(Window.partitionBy("_source", "_piece").orderBy("_uid")) - 1
+    return found.withColumn("_tie", own + F.col("_earlier")).drop("_uid", "_piece", "_t", "_p", "_earlier")
+
+
 def mix(rows: DataFrame, narrow: DataFrame | None = None, weights=WEIGHTS, cap=CAP) -> DataFrame:
     """rows (of sized()) with source_size, target, taken and _part: words taken of the copy that enters in part (else 0).
 
     narrow: the same documents from sized(docs), already written; without it one is written here. Nulls: a null text is
     empty, a null source is a source of its own and comes last, a null id draws as the empty id. Rows of one id have one
-    key; which of them is cut doesn't show in the result, as the order goes on by size. An empty table gives no rows."""
+    key; they enter by size, and of equal sizes any of them is cut, which doesn't show in the result: so many rows without
+    an id, or of one id, are counted and never sorted. An empty table gives no rows."""
     own = None
     if narrow is None:
         narrow, own = materialize(rows.select("_source", "_id", "_size", "_level", "_u", "_key"), "mix-sizes")
@@ -93,17 +118,21 @@ def mix(rows: DataFrame, narrow: DataFrame | None = None, weights=WEIGHTS, cap=C
     upto = F.sum("_sum").over(Window.partitionBy("_source").orderBy("_bucket"))
     crossing = sums.withColumn("_before", upto - F.col("_sum")).where((F.col("_before") <= F.col("_rest")) & (F.col("_before") + F.col("_sum") > F.col("_rest")))
     info = info.withColumnRenamed("_source", "_s")
-    crossing = crossing.select(F.col("_source").alias("_c"), F.col("_bucket").alias("_crossing"), "_before")
-    info, _ = materialize(info.join(crossing, F.col("_s").eqNullSafe(F.col("_c")), "left").drop("_c"), "mix-budgets")
+    crossing = crossing.select(F.col("_source").alias("_b"), F.col("_bucket").alias("_crossing"), "_before")
+    info, _ = materialize(info.join(crossing, F.col("_s").eqNullSafe(F.col("_b")), "left").drop("_b"), "mix-budgets")
+    cuts = info.join(_cuts(narrow, info), F.col("_s").eqNullSafe(F.col("_c")), "left").select("_s", "source_size", "target", "_epochs", "_ck", "_ci", "_cs", "_left", "_ties")
+    info, _ = materialize(cuts, "mix-cuts")
     if own:
         release(own)
-    placed = rows.join(info, F.col("_source").eqNullSafe(F.col("_s"))).withColumn("_bucket", _bucket())
-    at = F.coalesce(F.col("_crossing"), F.lit(2**62))
-    whole = placed.where(F.col("_bucket") != at).withColumn("_fraction", F.when(F.col("_bucket") < at, F.col("_size")).otherwise(0).cast("long"))
-    running = F.sum("_size").over(Window.partitionBy("_source").orderBy("_key", "_id", "_size").rowsBetween(Window.unboundedPreceding, -1))
-    left = F.col("_rest") - F.col("_before") - F.coalesce(running, F.lit(0))
-    part = placed.where(F.col("_bucket") == at).withColumn("_fraction", F.greatest(F.lit(0), F.least(F.col("_size"), left)).cast("long"))
-    every = whole.unionByName(part)
+    here, cut = (F.struct(*[F.col(c).alias(n) for c, n in zip(names, "kis", strict=True)]) for names in (("_key", "_id", "_size"), ("_ck", "_ci", "_cs")))
+    open_ = F.col("_ck").isNull()  # a source without words
+    placed = rows.join(info, F.col("_source").eqNullSafe(F.col("_s")))
+    every = placed.withColumn("_tie", F.lit(0).cast("long"))
+    if not info.where("_ties > 1").isEmpty():
+        tied = ~open_ & here.eqNullSafe(cut) & (F.col("_ties") > 1)
+        every = every.where(~F.coalesce(tied, F.lit(False))).unionByName(_numbered(placed.where(tied)))
+    at_cut = F.greatest(F.lit(0), F.least(F.col("_size"), F.col("_left") - F.col("_tie") * F.col("_size"))).cast("long")
+    every = every.withColumn("_fraction", F.when(open_ | (here < cut), F.col("_size")).when(here.eqNullSafe(cut), at_cut).otherwise(0).cast("long"))
     return every.withColumn("taken", F.col("_epochs") * F.col("_size") + F.col("_fraction")).withColumn("_part", F.when(F.col("_fraction") < F.col("_size"), F.col("_fraction")).otherwise(0))
 
 

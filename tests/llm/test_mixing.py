@@ -93,3 +93,35 @@ def test_documents_are_repeated(spark):
         got[r["doc_id"]] = got.get(r["doc_id"], 0) + len(r["text"].split())
         assert r["n_chars"] == len(r["text"])
     assert got == {k: v for k, v in taken.items() if v}
+
+
+def test_many_rows_of_one_key(spark):
+    """Rows without an id share one key: they enter by size, and equal ones are numbered over all pieces of the table."""
+    n = 1200
+    texts = [" ".join(["w"] * (1 + k % 3)) for k in range(n)]
+    ids = [None if k % 3 else k for k in range(n)]
+    docs = documents(spark, texts + ["x " * 700], ["a"] * n + ["b"], ids=[*ids, n]).repartition(5)
+    sized = {}
+    for r in mixing.sized(docs, "doc_id").collect():
+        sized.setdefault(r["_source"], []).append((r["_key"], -1 if r["doc_id"] is None else r["doc_id"], r["_size"]))
+    rows = mixing.mix_query(docs).collect()
+    by = {r["source_size"]: r["target"] for r in rows}
+    want = []
+    for found in sized.values():
+        size = sum(x[2] for x in found)
+        epochs, left = int(by[size] // size), int(by[size]) - int(by[size] // size) * size
+        for _, i, k in sorted(found):
+            want.append((i, k, epochs * k + max(0, min(k, left))))
+            left -= k
+    assert sorted((-1 if r["doc_id"] is None else r["doc_id"], r["size"], r["taken"]) for r in rows) == sorted(want)
+
+
+@pytest.mark.parametrize("size", [1, 4])
+def test_budget_ends_among_equal_rows(spark, size):
+    texts = ["w " * size] * 90
+    docs = documents(spark, texts + ["x " * (size * 50 + 1)], ["a"] * 90 + ["b"], ids=[None] * 90 + [1]).repartition(4)
+    rows = mixing.mix_query(docs).collect()
+    own = [r for r in rows if r["doc_id"] is None]
+    assert len(own) == 90 and sum(r["taken"] for r in own) == int(own[0]["target"])
+    kept = mixing.mixed_documents(docs).where("source = 'a'").collect()
+    assert sum(len(r["text"].split()) for r in kept) == int(own[0]["target"])
