@@ -85,6 +85,35 @@ def map_metadata(column: Column, mappings: Iterable[tuple]) -> list[Column]:
     return out
 
 
+#: Which field of an electron microscope's JSON gives which attribute of image XML, with units it leaves out.
+MICROSCOPE = [
+    ("Instrument.InstrumentId", "Instrument.Microscope.@SerialNumber"),
+    ("Instrument.InstrumentModel", "Instrument.Microscope.@Model"),
+    ("Instrument.Manufacturer", "Instrument.Microscope.@Manufacturer"),
+    ("DetectorMetadata.DetectorName", "Instrument.Detector.@Model"),
+    ("DetectorMetadata.Gain", "Instrument.Detector.@Gain"),
+    ("DetectorMetadata.Offset", "Instrument.Detector.@Offset"),
+    ("Acquisition.AcquisitionStartDatetime.DateTime", "Image.AcquisitionDate", None, "datetime"),
+    ("BinaryResult.PixelSize.height", "Image.Pixels.@PhysicalSizeX"),
+    ("BinaryResult.PixelSize.width", "Image.Pixels.@PhysicalSizeY"),
+    ("BinaryResult.PixelUnitX", "Image.Pixels.@PhysicalSizeXUnit"),
+    ("BinaryResult.PixelUnitY", "Image.Pixels.@PhysicalSizeYUnit"),
+    ("Scan.DwellTime", "Image.Pixels.Plane.@ExposureTime"),
+    ("Scan.DwellTimeUnit", "Image.Pixels.Plane.@ExposureTimeUnit", "s"),
+    ("Stage.Position.x", "Image.Pixels.Plane.@PositionX"),
+    ("Stage.Position.y", "Image.Pixels.Plane.@PositionY"),
+    ("Stage.Position.z", "Image.Pixels.Plane.@PositionZ"),
+    ("Stage.PositionUnit", "Image.Pixels.Plane.@PositionXUnit", "m"),
+    ("Stage.PositionUnit", "Image.Pixels.Plane.@PositionYUnit", "m"),
+    ("Stage.PositionUnit", "Image.Pixels.Plane.@PositionZUnit", "m"),
+]
+
+
+def microscope_metadata(column: Column) -> list[Column]:
+    """The JSON text of an electron microscope as one column for each attribute of image XML, named by its dotted path."""
+    return map_metadata(column, MICROSCOPE)
+
+
 def attribute(m: Column, key: str) -> Column:
     """A key of a map of XML values, with or without the attribute sign."""
     return F.coalesce(F.try_element_at(m, F.lit(key)), F.try_element_at(m, F.lit(f"@{key}")))

@@ -557,6 +557,30 @@ def map_metadata(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", doc.alias("doc")).select("event_id", *metadata.map_metadata(F.col("doc"), wanted))
 
 
+@query(
+    """SELECT event_id, CAST(event_id AS VARCHAR) AS instrument_microscope_serialnumber, event_type AS instrument_microscope_model, CAST(NULL AS VARCHAR) AS instrument_microscope_manufacturer,
+    event_type AS instrument_detector_model, CAST(event_id % 7 AS VARCHAR) AS instrument_detector_gain, CAST(NULL AS VARCHAR) AS instrument_detector_offset,
+    strftime(to_timestamp(1700000000 + event_id) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%S') AS image_acquisitiondate,
+    CAST(event_id % 5 AS VARCHAR) AS image_pixels_physicalsizex, CAST(event_id % 3 AS VARCHAR) AS image_pixels_physicalsizey, CAST(NULL AS VARCHAR) AS image_pixels_physicalsizexunit, CAST(NULL AS VARCHAR) AS image_pixels_physicalsizeyunit,
+    CAST(NULL AS VARCHAR) AS image_pixels_plane_exposuretime, 's' AS image_pixels_plane_exposuretimeunit,
+    CAST(event_id % 11 AS VARCHAR) AS image_pixels_plane_positionx, CAST(event_id % 13 AS VARCHAR) AS image_pixels_plane_positiony, CAST(NULL AS VARCHAR) AS image_pixels_plane_positionz,
+    CASE WHEN event_id % 2 = 0 THEN 'um' ELSE 'm' END AS image_pixels_plane_positionxunit, CASE WHEN event_id % 2 = 0 THEN 'um' ELSE 'm' END AS image_pixels_plane_positionyunit, CASE WHEN event_id % 2 = 0 THEN 'um' ELSE 'm' END AS image_pixels_plane_positionzunit
+    FROM events"""
+)
+def microscope_metadata(spark, sf_dir):
+    rows, at = table(spark, sf_dir, "events"), F.col("event_id")
+    named = lambda **fields: F.struct(*[c.alias(k) for k, c in fields.items()])
+    doc = named(
+        Instrument=named(InstrumentId=at.cast("string"), InstrumentModel=F.col("event_type")),
+        DetectorMetadata=named(DetectorName=F.col("event_type"), Gain=at % 7),
+        Acquisition=named(AcquisitionStartDatetime=named(DateTime=(at + 1700000000).cast("string"))),
+        BinaryResult=named(PixelSize=named(height=at % 5, width=at % 3)),
+        Stage=named(Position=named(x=at % 11, y=at % 13), PositionUnit=F.when(at % 2 == 0, "um")),
+    )
+    found = rows.select("event_id", *metadata.microscope_metadata(F.to_json(doc)))
+    return found.toDF(*[c.replace(".@", ".").replace(".", "_").lower() for c in found.columns])
+
+
 @query("SELECT p_partkey, p_size || 'µm' AS fixed, 'µm' AS unit FROM part")
 def fix_text(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", metadata.fix_micro(F.concat(F.col("p_size").cast("string"), F.lit("Âµm"))).alias("fixed"), metadata.fix_micro(F.lit("micron")).alias("unit"))

@@ -167,3 +167,59 @@ def mapped_xml(tree: Mapping, sizes: dict[str, int], dtype: str, combine_rgb: bo
     image.setdefault("@ID", "Image:0")
     pixels.setdefault("@ID", "Pixels:0")
     return metadata.to_xml(metadata.without_nulls({"OME": nested["OME"]}))
+
+
+def _attributes(record: Mapping, *lists: str) -> dict:
+    """A record's values as XML attributes; a pair is a value and its unit. Nulls, and names that say unknown, stay out."""
+    out = {}
+    for k, v in record.items():
+        if k in lists:
+            continue
+        value, unit = v if isinstance(v, tuple) else (v, None)
+        if value is not None and not (isinstance(value, str) and value.lower() in ("", "unknown")):
+            out |= {f"@{k}": value} | ({f"@{k}Unit": unit} if unit else {})
+    return out
+
+
+def _note(k: int, note: Mapping) -> dict:
+    value = note["value"]
+    if isinstance(value, list | Mapping):
+        value = {"M": [{"@K": a, "#text": str(b)} for a, b in (value.items() if isinstance(value, Mapping) else value)]}
+    return {"@ID": f"Annotation:{k}", "@Namespace": note.get("namespace"), "Value": value}
+
+
+def record_xml(name: str, sizes: dict[str, int], dtype: str, record: Mapping, pixel_size: dict[str, tuple[float, str]] | None = None, levels: list[tuple[int, int]] = (), combine_rgb: bool = True) -> str:
+    """XML of an image from what an image server keeps of it. record: objective, stage and channels and planes (dictionaries
+    by the schema's attribute names, a value with a unit as a pair), acquired, description, and annotations (type, namespace,
+    value; pairs become a map). levels: sizes of smaller levels, noted first among the map annotations."""
+    image: dict = {"@ID": "Image:0", "@Name": name, "AcquisitionDate": record.get("acquired"), "Description": record.get("description")}
+    tree: dict = {}
+    if (objective := record.get("objective")) is not None:
+        tree["Instrument"] = {"@ID": "Instrument:0", "Objective": {"@ID": "Objective:0"} | _attributes(objective)}
+        image |= {"InstrumentRef": {"@ID": "Instrument:0"}, "ObjectiveSettings": {"@ID": "Objective:0"}}
+    stage = record.get("stage")
+    if stage is not None:
+        image["StageLabel"] = {"@Name": stage.get("Name")}
+    merged = sizes.get("c", 1) == 3 and combine_rgb
+    channels = [_attributes({k: v for k, v in c.items() if not (merged and k in ("Color", "SamplesPerPixel"))}) for c in record.get("channels", ())]
+    pixels: dict = {"@ID": "Pixels:0"}
+    for a, (value, unit) in (pixel_size or {}).items():
+        if value:
+            pixels |= {f"@PhysicalSize{a.upper()}": value} | ({f"@PhysicalSize{a.upper()}Unit": unit} if unit else {})
+    if channels:
+        pixels["Channel"] = channels
+    if planes := record.get("planes"):
+        place = {k: v for k, v in (stage or {}).items() if k.startswith("Position")}
+        pixels["Plane"] = [_attributes(place | dict(p)) for p in planes]
+    image["Pixels"] = pixels
+    tree["Image"] = image
+    notes: dict[str, list] = {}
+    for note in record.get("annotations", ()):
+        of = notes.setdefault(note["type"], [])
+        of.append(_note(len(of), note))
+    if levels:
+        sizes_of = {"@ID": "Annotation:Resolution:0", "@Namespace": "openmicroscopy.org/PyramidResolution", "Value": {"M": [{"@K": k, "#text": " ".join(map(str, size))} for k, size in enumerate(levels, 1)]}}
+        notes["MapAnnotation"] = [sizes_of, *notes.get("MapAnnotation", [])]
+    if notes:
+        tree["StructuredAnnotations"] = notes
+    return mapped_xml({"OME": tree}, sizes, dtype, combine_rgb)

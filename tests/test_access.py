@@ -100,6 +100,30 @@ def test_file_metadata():
     assert metadata.lookup(tree, "OME.Image.Pixels.SizeX") == "8" and metadata.lookup(tree, "OME.Image.Pixels.Plane.TheZ") == "0" and len(tree["OME"]["Image"]["Pixels"]["Channel"]) == 2
 
 
+def test_record_metadata():
+    record = {
+        "objective": {"Model": "40x", "WorkingDistance": (0.17, "mm"), "Immersion": "Unknown", "Iris": None},
+        "stage": {"Name": "s1", "PositionX": (3.0, "mm"), "PositionY": (4.0, "mm")},
+        "planes": [{"TheC": 0, "TheZ": 0, "TheT": 0, "ExposureTime": 0.5}, {"TheC": 1, "TheZ": 0, "TheT": 0}],
+        "channels": [{"Name": "DAPI", "Color": 255, "Fluor": None}, {"Name": "GFP", "Color": 65280}],
+        "description": "two channels",
+        "annotations": [{"type": "TagAnnotation", "namespace": "n", "value": "good"}, {"type": "MapAnnotation", "value": [("k", 1), ("l", "v")]}],
+    }
+    tree = metadata.from_xml(annotations.record_xml("r", {"x": 64, "y": 32, "c": 2}, "uint16", record, {"x": (0.5, "µm"), "y": (0.5, ""), "z": (0, "µm")}, [(32, 16), (16, 8)]))
+    at = lambda path: metadata.lookup(tree, path)
+    objective = at("OME.Instrument.Objective")
+    assert objective["@WorkingDistance"] == "0.17" and objective["@WorkingDistanceUnit"] == "mm" and "@Immersion" not in objective and "@Iris" not in objective
+    assert at("OME.Image.ObjectiveSettings.ID") == objective["@ID"] and at("OME.Image.StageLabel.Name") == "s1" and at("OME.Image.Pixels.SizeX") == "64"
+    assert [c["@Name"] for c in at("OME.Image.Pixels.Channel")] == ["DAPI", "GFP"] and [p["@TheC"] for p in at("OME.Image.Pixels.Plane")] == ["0", "1"]
+    assert at("OME.Image.Pixels.Plane")[0]["@PositionXUnit"] == "mm" and at("OME.Image.Pixels.PhysicalSizeYUnit") is None and at("OME.Image.Pixels.PhysicalSizeZ") is None
+    first, second = at("OME.StructuredAnnotations.MapAnnotation")
+    assert [m["#text"] for m in first["Value"]["M"]] == ["32 16", "16 8"] and [m["@K"] for m in second["Value"]["M"]] == ["k", "l"]
+    assert at("OME.StructuredAnnotations.TagAnnotation.Value") == "good"
+    rgb = metadata.from_xml(annotations.record_xml("r", {"x": 8, "y": 8, "c": 3}, "uint8", {"channels": [{"Name": "rgb", "Color": 1, "SamplesPerPixel": 1}]}))
+    assert metadata.lookup(rgb, "OME.Image.Pixels.Channel.SamplesPerPixel") == "3" and metadata.lookup(rgb, "OME.Image.Pixels.Channel.Color") is None
+    assert metadata.lookup(metadata.from_xml(annotations.record_xml("e", {"x": 1, "y": 1}, "uint8", {})), "OME.Image.Name") == "e"
+
+
 @pytest.mark.parametrize("version", [2, 3])
 def test_groups(spark, tmp_path, version):
     a = picture(80, 48, 2)
