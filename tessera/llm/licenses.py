@@ -8,7 +8,6 @@ comment's header is one) and, if it has several paragraphs, the whole file - of
 from __future__ import annotations
 
 import math
-import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,9 +37,9 @@ COSINE = 0.75
 #: A file whose license statements make up this share of its words is a license file: it speaks for its directory.
 FILE_SHARE = 0.5
 SPLIT = "[^a-z0-9]+"
-#: Terms of a paragraph or file that is compared whole: three times the longest template's, over which no text that doesn't
-#: repeat itself comes near one. Longer files are still compared by their lines and paragraphs.
-MOST_TERMS = 3 * max(len(re.findall("[a-z0-9]+", t.lower())) for _, t in TEMPLATES)
+#: Terms of a paragraph or file that is compared whole, for the SQL: as many as an array can hold, so that none is left out (a
+#: license that repeats is as near to its template as one that doesn't).
+MOST_TERMS = (1 << 31) - 1
 
 
 def terms(text: Column) -> Column:
@@ -58,8 +57,8 @@ def statements(files: DataFrame) -> DataFrame:
     of = lambda kind, found: F.transform(found, lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("line")))
     parts = F.split(F.col("text"), BREAK)
     lines = F.filter(F.split(F.col("text"), "\n"), telling)
-    blocks = F.filter(parts, lambda x: x.contains("\n") & telling(x) & (F.size(terms(x)) <= MOST_TERMS))
-    whole = F.when((F.size(parts) > 1) & (F.size(terms(F.col("text"))) <= MOST_TERMS), F.array("text")).otherwise(F.array().cast("array<string>"))
+    blocks = F.filter(parts, lambda x: x.contains("\n") & telling(x))
+    whole = F.when(F.size(parts) > 1, F.array("text")).otherwise(F.array().cast("array<string>"))
     found = files.where(telling(F.col("text"))).select("_file", F.explode(F.concat(of(0, lines), of(1, blocks), of(2, whole))).alias("s"))
     return found.select("_file", "s.kind", "s.line")
 
@@ -85,24 +84,24 @@ def matched(files: DataFrame) -> DataFrame:
     spark = files.sparkSession
     weights, top = term_weights(files)
     found, _ = materialize(statements(files).distinct(), "license-lines")
-    # equal statements are compared once: one may stand in a third of all files
-    lines = found.groupBy("line").agg(F.count("*").alias("files"))
+    # equal statements are compared once: one may stand in a third of all files; their terms carry a number, not the text
+    lines, texts = materialize(found.select("line").distinct().withColumn("id", F.monotonically_increasing_id()), "license-texts")
     vectors = _templates(spark).join(weights, "term").withColumn("w", F.col("tf") * F.col("idf"))
     norms = vectors.groupBy("template").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     vectors = vectors.join(norms, "template").select("template", "license", F.col("term").alias("t"), (F.col("w") / F.col("norm")).alias("tw"))
-    mine = lines.select("line", F.explode(terms(F.col("line"))).alias("term")).groupBy("line", "term").agg(F.count("*").cast("double").alias("tf"))
-    mine = mine.join(F.broadcast(weights), "term", "left").select("line", "term", F.col("idf").isNotNull().alias("known"), (F.col("tf") * F.coalesce("idf", F.lit(top))).alias("w"))
+    mine = lines.select("id", F.explode(terms(F.col("line"))).alias("term")).groupBy("id", "term").agg(F.count("*").cast("double").alias("tf"))
+    mine = mine.join(F.broadcast(weights), "term", "left").select("id", "term", F.col("idf").isNotNull().alias("known"), (F.col("tf") * F.coalesce("idf", F.lit(top))).alias("w"))
     mine, path = materialize(mine, "license-terms")
     squares = F.col("w") * F.col("w")
-    length = mine.groupBy("line").agg(F.sqrt(F.sum(squares)).alias("norm"), F.sqrt(F.sum(F.when(F.col("known"), squares).otherwise(0.0))).alias("inner"))
+    length = mine.groupBy("id").agg(F.sqrt(F.sum(squares)).alias("norm"), F.sqrt(F.sum(F.when(F.col("known"), squares).otherwise(0.0))).alias("inner"))
     # no cosine is over the share of the templates' terms
-    length = length.where(F.col("inner") >= (COSINE - 1e-9) * F.col("norm")).select(F.col("line").alias("l"), "norm")
+    length = length.where(F.col("inner") >= (COSINE - 1e-9) * F.col("norm")).select(F.col("id").alias("l"), "norm")
     # templates don't grow with the files
-    near = mine.where("known").join(length, F.col("line") == F.col("l")).join(F.broadcast(vectors), F.col("term") == F.col("t"))
-    scored = near.groupBy("line", "license", "template").agg((F.sum(F.col("w") * F.col("tw")) / F.max("norm")).alias("cosine"))
-    best = scored.groupBy("line").agg(F.max(F.struct(F.round("cosine", 9).alias("cosine"), F.col("license").alias("license"))).alias("b")).where(F.col("b.cosine") >= COSINE)
-    best, _ = materialize(best, "license-best")
-    release(path)
+    near = mine.where("known").join(length, F.col("id") == F.col("l")).join(F.broadcast(vectors), F.col("term") == F.col("t"))
+    scored = near.groupBy("id", "license", "template").agg((F.sum(F.col("w") * F.col("tw")) / F.max("norm")).alias("cosine"))
+    best = scored.groupBy("id").agg(F.max(F.struct(F.round("cosine", 9).alias("cosine"), F.col("license").alias("license"))).alias("b")).where(F.col("b.cosine") >= COSINE)
+    best, _ = materialize(lines.join(best, "id").select("line", "b"), "license-best")
+    release(path, texts)
     return found.select("_file", "kind", F.col("line").alias("own")).join(best, F.col("own") == F.col("line")).select("_file", "kind", "line", F.col("b.license").alias("license"), F.col("b.cosine").alias("cosine"))
 
 
@@ -122,8 +121,8 @@ def scan(files: DataFrame) -> DataFrame:
     A path's license is its best matching statement (on ties the name that sorts last, then the larger text). A license
     file - its lines, its paragraphs or its whole text that match make up FILE_SHARE of its words, or its name is LICENSE or
     COPYING - gives its license to all files below its folder that have none and no nearer license file. Null paths are left
-    out, null and empty texts hold no statement, very long ones are looked at by line and paragraph, repeated rows of a path
-    count as one file, an empty table gives no rows."""
+    out, null and empty texts hold no statement, very long ones are compared whole, too, repeated rows of a path count as one
+    file, an empty table gives no rows."""
     files = files.where(F.col("path").isNotNull()).select(F.col("path").cast("string").alias("_file"), F.col("text").cast("string").alias("text"))
     own = matched(files)
     words = F.coalesce(F.regexp_count(F.col("line"), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0))

@@ -114,6 +114,20 @@ def test_license_files_headers_and_tags(spark):
     assert got["v/COPYING"]["license"].startswith("BSD") and got["p/src/a.py"]["folder"] == "p"
 
 
+def test_long_texts_are_compared_whole(spark):
+    """A license that stands in a text often enough is as near to it as the license itself, however long the text."""
+    texts = dict(L.TEXTS)
+    longest = max(len(terms(t)) for _, t in L.TEMPLATES)
+    grant = texts["MIT"].split("\n\n")[0]
+    block = wrapped(" ".join([grant] * (4 * longest // len(terms(grant)) + 1)), 24)
+    files = {"a/header.c": f"{block}\n\nint x;", "b/all.txt": "\n\n".join(wrapped(" ".join([p] * 2), 24, "- so ") for p in [*texts["BSD-3-Clause"].split("\n\n")] * 4), "c/y.c": "int y;"}
+    assert all(len(terms(t)) > 3 * longest for p, t in files.items() if p != "c/y.c")
+    got = run(spark, files)
+    own = {p: (r["cosine"], r["license"]) for p, r in got.items() if r["how"] == "own"}
+    assert own == {p: (pytest.approx(c, abs=1e-8), n) for p, (c, n) in brute(files).items()}
+    assert own["a/header.c"][1] == "MIT" and got["c/y.c"]["how"] == "none"
+
+
 def test_odd_rows(spark):
     docs = documents(spark, [None, "", MIT, MIT, f"{MIT}\n" + "word " * 50, "license " * 3000], sources=[None, "s", "s", "s", None, "t"], ids=[1, 2, 3, 3, None, 5])
     rows = L.license_query(docs).collect()
