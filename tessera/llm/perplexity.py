@@ -1,9 +1,10 @@
 """Quality rules: base counts and the perplexity under a character n-gram model with modified Kneser-Ney smoothing.
 
-Characters fall into 64 classes, so an n-gram of ORDER = 4 is a collision-free 24-bit hash and the model has at most
-2 ** 24 entries however large the corpus: its size is bounded before it is broadcast. Spark counts the highest order over
-all whole texts; lower orders follow from it (continuation counts). The model is kept as sorted arrays of hashes with
-aligned log probabilities, looked up by binary search.
+Characters count as they are: a text's symbols are its UTF-16 units of UNITS = 16 bits, so an n-gram of ORDER = 4 is a
+collision-free 64-bit hash, whatever the script. The model has as many entries as the corpus has different n-grams. With
+BITS = 6 characters fall into 64 classes instead, and it has at most 2 ** 24. Spark counts the highest order over all whole
+texts; lower orders follow from it (continuation counts). The model is kept as sorted arrays of hashes with aligned log
+probabilities, looked up by binary search.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from .common import materialize, pieces, small_batches
 ORDER = 4
 BITS = 6
 CLASSES = 1 << BITS
+UNITS = 16
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\v\f\r"
 MIN_WORDS = 50
@@ -56,15 +58,27 @@ def _classes() -> np.ndarray:
 TABLE = _classes()
 
 
-def ngrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the n-grams that end at each character of each text (three line ends stand before it); each text's length."""
-    pad = "\n" * (ORDER - 1)
-    lengths = np.fromiter(map(len, texts), np.int64, len(texts))
-    points = np.frombuffer((pad + pad.join(texts)).encode("utf-32-le", "surrogatepass"), np.uint32)
-    cls = TABLE[np.minimum(points, (1 << 16) - 1)].astype(np.uint32)
+def _kind(bits: int) -> type:
+    """What holds an n-gram of symbols of so many bits."""
+    return np.uint32 if ORDER * bits <= 32 else np.uint64
+
+
+def ngrams(texts: list[str], bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the n-grams that end at each symbol of each text (three line ends stand before it); each text's length in
+    symbols: UTF-16 units if bits is UNITS, else classes of characters."""
+    pad, kind = "\n" * (ORDER - 1), _kind(bits)
+    if bits == UNITS:
+        coded = [t.encode("utf-16-le", "surrogatepass") for t in texts]
+        lengths = np.fromiter(map(len, coded), np.int64, len(texts)) // 2
+        between = pad.encode("utf-16-le")
+        cls = np.frombuffer(between + between.join(coded), np.uint16).astype(kind)
+    else:
+        lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+        points = np.frombuffer((pad + pad.join(texts)).encode("utf-32-le", "surrogatepass"), np.uint32)
+        cls = TABLE[np.minimum(points, (1 << 16) - 1)].astype(kind)
     codes = cls[ORDER - 1 :].copy()
     for back in range(1, ORDER):
-        codes |= cls[ORDER - 1 - back : len(cls) - back] << np.uint32(BITS * back)
+        codes |= cls[ORDER - 1 - back : len(cls) - back] << kind(bits * back)
     keep = np.ones(len(codes), bool)  # not the line ends between texts
     ends = np.cumsum(lengths + ORDER - 1)[:-1]
     for back in range(1, ORDER):
@@ -94,8 +108,8 @@ def symbol_limits(docs: DataFrame) -> DataFrame:
     return _quartiles(rows, "_g", share, 1e-4).select("_g", F.greatest(F.col("q2") + ABOVE * (F.col("q3") - F.col("q1")), F.lit(MIN_SHARE)).alias("_limit"))
 
 
-def count_ngrams(docs: DataFrame, limits: DataFrame | None = None) -> DataFrame:
-    """code, n over all whole texts, with limits of those that train; each task sends one row per distinct n-gram."""
+def count_ngrams(docs: DataFrame, limits: DataFrame | None = None, bits: int = BITS) -> DataFrame:
+    """code, n over all whole texts, with limits of those that train; a task holds about _BUFFER different n-grams at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: list[tuple[np.ndarray, np.ndarray]] = []
@@ -106,22 +120,28 @@ def count_ngrams(docs: DataFrame, limits: DataFrame | None = None) -> DataFrame:
                 found.append(_unique(np.concatenate(waiting)))
                 waiting.clear()
 
+        def sent() -> Iterator[pa.RecordBatch]:
+            codes, back = np.unique(np.concatenate([c for c, _ in found]), return_inverse=True)
+            n = np.bincount(back, np.concatenate([k for _, k in found])).astype(np.int64)
+            found.clear()
+            for at in range(0, len(codes), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(codes[at : at + (1 << 16)].astype(np.int64)), pa.array(n[at : at + (1 << 16)])], ["code", "n"])
+
         for b in pieces(batches):
             texts = [t for t, most in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if t and (most is None or _trains(t, most))]
             for part in _parts(texts):
-                waiting.append(ngrams(part)[0])
+                waiting.append(ngrams(part, bits)[0])
                 if sum(map(len, waiting)) >= _BUFFER:
                     flush()
+                    if sum(len(c) for c, _ in found) >= _BUFFER:
+                        yield from sent()
         flush()
         if found:
-            codes, back = np.unique(np.concatenate([c for c, _ in found]), return_inverse=True)
-            n = np.bincount(back, np.concatenate([k for _, k in found])).astype(np.int64)
-            for at in range(0, len(codes), 1 << 16):
-                yield pa.RecordBatch.from_arrays([pa.array(codes[at : at + (1 << 16)].astype(np.int32)), pa.array(n[at : at + (1 << 16)])], ["code", "n"])
+            yield from sent()
 
     rows = docs.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("_lang"))
     rows = rows.withColumn("_limit", F.lit(None).cast("double")) if limits is None else rows.join(F.broadcast(limits), F.col("_lang").eqNullSafe(F.col("_g")))
-    return rows.select("text", "_limit").mapInArrow(run, "code int, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    return rows.select("text", "_limit").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
 
 
 def _parts(texts: list[str], most: int = 1 << 21) -> Iterator[list[str]]:
@@ -140,50 +160,51 @@ def _parts(texts: list[str], most: int = 1 << 21) -> Iterator[list[str]]:
 class KneserNey:
     """Interpolated modified Kneser-Ney from the counts of the highest order."""
 
-    def __init__(self, codes: np.ndarray, counts: np.ndarray):
+    def __init__(self, codes: np.ndarray, counts: np.ndarray, bits: int = BITS):
+        self.bits, kind = bits, _kind(bits)
+        codes = codes.astype(kind)
         order = np.argsort(codes)
-        codes, counts = codes[order].astype(np.uint32), counts[order].astype(np.float64)
+        codes, counts = codes[order], counts[order].astype(np.float64)
         levels = [(codes, counts)]
         for n in range(ORDER - 1, 0, -1):  # continuation counts: how many characters come before
-            levels.append(tuple(x.astype(t) for x, t in zip(np.unique(levels[-1][0] & np.uint32((1 << BITS * n) - 1), return_counts=True), (np.uint32, np.float64), strict=True)))
+            levels.append(tuple(x.astype(t) for x, t in zip(np.unique(levels[-1][0] & kind((1 << bits * n) - 1), return_counts=True), (kind, np.float64), strict=True)))
         self.tables: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
-        lower = np.full(CLASSES, -np.log(CLASSES))
+        lower = np.full(1 << bits, -np.log(1 << bits))
         for n, (grams, c) in enumerate(reversed(levels), 1):
             of = [float((c == k).sum()) for k in (1, 2, 3, 4)]
             y = of[0] / (of[0] + 2 * of[1]) if of[0] and of[1] else 0.5
             discounts = [min(max(k - (k + 1) * y * of[k] / of[k - 1], 0.05), k - 0.05) if of[k - 1] else 0.5 * k for k in (1, 2, 3)]
             d = np.select([c <= 1, c < 3], discounts[:2], discounts[2])
-            contexts, at = np.unique(grams >> np.uint32(BITS), return_inverse=True)
+            contexts, at = np.unique(grams >> kind(bits), return_inverse=True)
             total = np.bincount(at, c)
             left = np.bincount(at, d) / total
-            below = lower[grams] if n == 1 else self._look(self.tables, grams & np.uint32((1 << BITS * (n - 1)) - 1))
+            below = lower[grams] if n == 1 else self._look(self.tables, grams & kind((1 << bits * (n - 1)) - 1))
             p = np.log((c - d) / total[at] + left[at] * np.exp(below))
-            self.tables.append((grams, p.astype(np.float32), contexts.astype(np.uint32), np.log(left).astype(np.float32)))
+            self.tables.append((grams, p.astype(np.float32), contexts.astype(kind), np.log(left).astype(np.float32)))
 
-    @staticmethod
-    def _look(tables, codes: np.ndarray) -> np.ndarray:
-        """Log probability of the last class of each n-gram after the others; n is the number of tables."""
+    def _look(self, tables, codes: np.ndarray) -> np.ndarray:
+        """Log probability of the last symbol of each n-gram after the others; n is the number of tables."""
         n = len(tables)
         if not n:
-            return np.full(len(codes), -np.log(CLASSES))
+            return np.full(len(codes), -np.log(1 << self.bits))
         grams, p, contexts, left = tables[-1]
         at = np.minimum(np.searchsorted(grams, codes), len(grams) - 1)
         out = p[at].astype(np.float64)
         miss = np.flatnonzero(grams[at] != codes)
         if len(miss):
-            h = codes[miss] >> np.uint32(BITS)
+            h = codes[miss] >> _kind(self.bits)(self.bits)
             k = np.minimum(np.searchsorted(contexts, h), len(contexts) - 1)
-            out[miss] = np.where(contexts[k] == h, left[k], 0.0) + KneserNey._look(tables[:-1], codes[miss] & np.uint32((1 << BITS * (n - 1)) - 1))
+            out[miss] = np.where(contexts[k] == h, left[k], 0.0) + self._look(tables[:-1], codes[miss] & _kind(self.bits)((1 << self.bits * (n - 1)) - 1))
         return out
 
     def score(self, codes: np.ndarray) -> np.ndarray:
         return self._look(self.tables, codes)
 
 
-def train(docs: DataFrame, limits: DataFrame | None = None) -> KneserNey | None:
-    """None if no text holds a character, or with limits none trains. At most 2 ** 24 counts come to the driver."""
-    found = count_ngrams(docs, limits).toArrow()
-    return KneserNey(found["code"].to_numpy(), found["n"].to_numpy()) if found.num_rows else None
+def train(docs: DataFrame, limits: DataFrame | None = None, bits: int = BITS) -> KneserNey | None:
+    """None if no text holds a character, or with limits none trains. A count for each different n-gram comes to the driver."""
+    found = count_ngrams(docs, limits, bits).toArrow()
+    return KneserNey(found["code"].to_numpy(), found["n"].to_numpy(), bits) if found.num_rows else None
 
 
 def base_counts(text: str | None) -> tuple[int, int, int, int, int]:
@@ -244,7 +265,7 @@ def judged(docs: DataFrame, model: KneserNey | None, *keep: str, text: str = "te
             texts = [t or "" for t in b.column(at).to_pylist()]
             values: list[float | None] = []
             for part in _parts(texts):
-                codes, lengths = ngrams(part)
+                codes, lengths = ngrams(part, model.bits if model else BITS)
                 full = np.flatnonzero(lengths)
                 found = [None] * len(part)
                 if model and len(full):
@@ -279,7 +300,7 @@ def quality(docs: DataFrame, *keep: str, text: str = "text", lang: str = "lang")
     small_batches(docs.sparkSession)
     plain = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang"))
     limits, _ = materialize(symbol_limits(plain), "quality-limits")
-    model = train(plain, limits) or train(plain)
+    model = train(plain, limits, UNITS) or train(plain, bits=UNITS)
     rows, _ = materialize(judged(docs, model, *keep, text=text, lang=lang).withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)), "quality")
     trained = ~F.col("base_failed") & (F.col("n_symbols") <= F.col("_limit") * F.col("_chars"))
     rows = rows.join(F.broadcast(limits), F.col("_lang").eqNullSafe(F.col("_g"))).withColumn("_trained", trained).drop("_g", "_limit")

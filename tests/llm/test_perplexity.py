@@ -85,6 +85,33 @@ def test_model_against_definition(spark):
         assert np.exp(model.score(codes)).sum() == pytest.approx(1, abs=1e-4)
 
 
+def test_model_of_units_against_definition(spark, monkeypatch):
+    """Characters that share a class, and one of two units, are told apart."""
+    texts = ["кот на окне", "тот кот", "The tHE \U0001f600", "окно"] * 3
+    monkeypatch.setattr(P, "CLASSES", 1 << P.UNITS)
+    units = lambda t: [10, 10, 10, *np.frombuffer(t.encode("utf-16-le"), np.uint16).tolist()]
+    counts = Counter(tuple(units(t)[k : k + 4]) for t in texts for k in range(len(units(t)) - 3))
+    model, p = P.train(documents(spark, texts), bits=P.UNITS), _kneser_ney(counts)
+    for t in ["кот", "нтк #", "\U0001f600 tHe"]:
+        codes, lengths = P.ngrams([t, "x"], P.UNITS)
+        want = [math.log(p(tuple(units(t)[k : k + 4]))) for k in range(len(units(t)) - 3)]
+        assert lengths.tolist() == [len(want), 1] and model.score(codes[: len(want)]) == pytest.approx(want, abs=1e-4)
+
+
+def test_letters_of_one_class_are_told_apart(spark):
+    """Letters of clean texts replaced at random: in Cyrillic by the one 16 places on, of capitals by any other."""
+    rng = np.random.default_rng(6)
+    syllables = ["ка", "го", "ни", "де", "ла", "ми", "во", "за", "ре", "бо"]
+    word = lambda: "".join(rng.choice(syllables, rng.integers(1, 5)))
+    clean = [" ".join(word() for _ in range(rng.integers(80, 400))) for _ in range(120)]
+    clean += [t.translate({ord(c): ord("A") + k for k, c in enumerate("кагониделмвзрб")}) for t in clean[:60]]
+    junk = ["".join(c if c == " " or rng.random() < 0.5 else chr(0x430 + (ord(c) - 0x430 + 16) % 32) for c in t) for t in clean[:3]]
+    junk += ["".join(c if c == " " else chr(65 + rng.integers(26)) for c in t) for t in clean[120:123]]
+    rows = {r["doc_id"]: r for r in P.quality_query(documents(spark, clean + junk, langs=["ru"] * 120 + ["xx"] * 60 + ["ru"] * 3 + ["xx"] * 3)).collect()}
+    assert not any(r["base_failed"] for r in rows.values())
+    assert sum(rows[k]["kept"] for k in range(180)) >= 178 and not any(rows[k]["kept"] for k in range(180, 186))
+
+
 def test_bands_reject_junk_and_keep_clean(spark):
     rng = np.random.default_rng(3)
     syllables = ["the", "an", "re", "ing", "tion", "er", "st", "ou", "nd", "ha"]
