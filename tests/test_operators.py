@@ -230,3 +230,19 @@ def test_space(spark):
     assert got == want
     edges = measure.layout_edges(spark.createDataFrame([(x, y) for x in range(3) for y in range(4)], "sx long, sy long"))
     assert sorted((r["sx"], r["sy"]) for r in edges.collect()) == [(1, 1), (1, 2)]
+
+
+def test_neighbours_of_crowded_cells(spark, tmp_path, monkeypatch):
+    """Points are never broadcast, however small their files; cells in pieces and odd coordinates lose no pair."""
+    rng = np.random.default_rng(6)
+    p = np.vstack([rng.random((120, 3)) * [60, 60, 5], np.round(rng.random((60, 3)) * [40, 40, 4]), np.full((20, 3), 5.0)])
+    odd = [(900, float("nan"), 1.0, 1.0), (901, float("inf"), 1.0, 2.0), (902, float("inf"), 2.0, 3.0), (903, 1e300, 1.0, 1.0), (904, 1e300, 2.0, 2.0), (905, None, 1.0, 1.0), (906, 5.0, 6.0, None)]
+    spark.createDataFrame([(k, *map(float, v)) for k, v in enumerate(p)] + odd, "id long, x double, y double, r double").write.parquet(str(tmp_path / "points"))
+    want = {(a, b) for a in range(200) for b in range(200) if 0 < ((p[a, :2] - p[b, :2]) ** 2).sum() < 144 and p[b, 2] < p[a, 2]} | {(904, 903)}
+    for crowd in (4096, 7):
+        monkeypatch.setattr(collection, "CROWD", crowd, raising=False)
+        found = collection.neighbours(spark.read.parquet(str(tmp_path / "points")), 12.0)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and plan.count("BroadcastHashJoin") == 2  # the two with counts of crowded cells
+        got = [(r["a"], r["b"]) for r in found.collect()]
+        assert len(got) == len(want) and set(got) == want
