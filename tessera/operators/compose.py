@@ -20,14 +20,26 @@ def render_rgb(px: DataFrame, dtype: str, low: float = 0.0, high: float | None =
     return px.withColumn("v", (pixels.normalise(F.col("v"), low, high if high is not None else top) * top).cast("int"))
 
 
+def _dealt(px: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows by keys. Up to a number of partitions Spark writes rows straight into a file for each; beyond, it gathers and
+    sorts all that a task sends, so there are no more than that."""
+    if not keys:
+        return px
+    conf = px.sparkSession.conf
+    direct = int(conf.get("spark.shuffle.sort.bypassMergeThreshold", "200"))
+    return px.repartition(*keys) if int(conf.get("spark.sql.shuffle.partitions")) <= direct else px.repartition(max(direct, 1), *keys)
+
+
 def render(px: DataFrame, channels: DataFrame, top: int = 255) -> DataFrame:
     """y, x, r, g, b: channels (c, low, high, red, green, blue, alpha) blended by colour and alpha. Values are windowed
-    first; alpha 0 counts as 1; the sum goes by the sum of the alphas, then truncates."""
+    first; alpha 0 counts as 1; the sum goes by the sum of the alphas, then truncates. Pixels are dealt out before they are
+    summed: the task that reads them would hold them all in its partial sums, which shrink little."""
     a = F.when(F.col("alpha") == 0, 1.0).otherwise(F.col("alpha"))
     share = pixels.normalise(F.col("v"), F.col("low"), F.col("high")) * a
-    total = F.broadcast(channels).agg(F.sum(a).alias("total"))  # one row
+    total = channels.agg(F.sum(a).alias("total"))  # one row
     keys = [k for k in px.columns if k not in ("c", "v")]
-    rows = px.join(channels.crossJoin(total), "c")
+    # a row for each channel is broadcast, never the pixels
+    rows = _dealt(px, keys).join(F.broadcast(channels.crossJoin(total)), "c")
     mixed = lambda name: (F.sum(share * F.col(name)) / F.max("total") * top)
     # the last digits of a sum depend on its order: a hair is added before it is cut
     return rows.groupBy(*keys).agg(*[F.floor(mixed(n) + 1e-9).cast("int").alias(o) for n, o in (("red", "r"), ("green", "g"), ("blue", "b"))])
@@ -66,7 +78,8 @@ def flatfield(px: DataFrame, dark: DataFrame, bright: DataFrame) -> DataFrame:
     """Tiles corrected by a dark and a bright image of one tile's size (y, x, v), values from 0 to 1."""
     field = dark.select("y", "x", F.col("v").alias("d")).join(bright.select("y", "x", F.col("v").alias("b")), ["y", "x"])
     mean = field.agg(F.avg(F.col("b") - F.col("d")).alias("mean"))
-    rows = px.join(field, ["y", "x"]).join(F.broadcast(mean), F.lit(True))
+    # tasks hold the field, never the pixels, which Spark would broadcast where their files are small
+    rows = px.join(field.hint("shuffle_hash"), ["y", "x"]).join(F.broadcast(mean), F.lit(True))
     return rows.withColumn("v", pixels.flatfield(F.col("v"), F.col("d"), F.col("b"), F.col("mean"))).drop("d", "b", "mean")
 
 

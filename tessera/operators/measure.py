@@ -77,7 +77,8 @@ def signal_filter(px: DataFrame, median: DataFrame, tile: str = "tile") -> DataF
 
 def distances(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     """d at each pixel: the length of the difference over all channels."""
-    both = a.join(b.select(*keys, "c", F.col("v").alias("w")), [*keys, "c"])
+    # sorted, never broadcast: Spark sees the size of files, not of pixels
+    both = a.join(b.select(*keys, "c", F.col("v").alias("w")).hint("merge"), [*keys, "c"])
     return both.groupBy(*keys).agg(F.sqrt(F.sum((F.col("v") - F.col("w")) * (F.col("v") - F.col("w")))).alias("d"), F.sum((F.col("v") - F.col("w")) * (F.col("v") - F.col("w"))).alias("sq"), F.count("*").alias("n"))
 
 

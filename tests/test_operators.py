@@ -246,3 +246,25 @@ def test_neighbours_of_crowded_cells(spark, tmp_path, monkeypatch):
         assert "SortMergeJoin" in plan and plan.count("BroadcastHashJoin") == 2  # the two with counts of crowded cells
         got = [(r["a"], r["b"]) for r in found.collect()]
         assert len(got) == len(want) and set(got) == want
+
+
+def test_pixels_are_never_broadcast(spark, tmp_path):
+    """A small file of arrays holds many pixels: only rows of channels are broadcast, and no task sums pixels before they are
+    dealt out."""
+    a = np.arange(7 * 6).reshape(7, 6) * 5.0
+    spark.createDataFrame([(k, list(map(float, r))) for k, r in enumerate(a)], "y long, v array<double>").write.parquet(str(tmp_path / "rows"))
+    rows = spark.read.parquet(str(tmp_path / "rows")).select("y", F.posexplode("v").alias("x", "v"))
+    image = rows.select((F.col("x") % 2).cast("long").alias("c"), "y", F.floor(F.col("x") / 2).alias("x"), "v")
+    channels = spark.createDataFrame([(0, 0.0, 100.0, 1.0, 0.0, 0.5, 1.0), (1, 50.0, 250.0, 0.0, 1.0, 0.25, 0.0)], "c long, low double, high double, red double, green double, blue double, alpha double")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    sent = lambda df: [x.split("+- Exchange")[0] for x in plan(df).split("BroadcastExchange")[1:]]
+    found = compose.render(image, channels)
+    assert not any("posexplode" in x for x in sent(found))
+    assert "Aggregate" not in plan(found).split("REPARTITION")[1].split("BroadcastExchange")[0]
+    low, high = np.clip(a[:, ::2] / 100, 0, 1), np.clip((a[:, 1::2] - 50) / 200, 0, 1)
+    want = {(y, x): tuple(int(np.floor(k / 2 * 255 + 1e-9)) for k in (low[y, x], high[y, x], low[y, x] * 0.5 + high[y, x] * 0.25)) for y in range(7) for x in range(3)}
+    assert {(r["y"], r["x"]): (r["r"], r["g"], r["b"]) for r in found.collect()} == want
+    assert [tuple(r) for r in compose.render(image.where("y = 0 and x = 1").select("c", "v"), channels).collect()] == [want[0, 1]]
+    assert "BroadcastHashJoin" not in plan(measure.distances(image, image, ["y", "x"]))
+    field = image.where("c = 0").select("y", "x", (F.col("v") / 255).alias("v"))
+    assert "ShuffledHashJoin" in plan(compose.flatfield(image, field, field))
