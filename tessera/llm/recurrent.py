@@ -14,6 +14,8 @@ frequent are joined, not broadcast. Texts reach Python in small pieces, so no bu
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
+from itertools import pairwise
 from zlib import crc32
 
 import numpy as np
@@ -32,6 +34,7 @@ STEPS, ROUNDS, RATE = 32, 2, 0.02
 #: Lanes of training: FIRST at the start, one more with each step, so that little data has many steps; lanes of scoring.
 FIRST, BATCH, GROUP = 32, 256, 512
 CHUNK = 2048  # rows of outputs at once, which the cache holds
+BLOCKS = (8, 16, 32, 64, 128)  # rows of one class that are multiplied at once: more where there are more rows
 _CLASSES = M // S + ENDINGS
 _START = M + ENDINGS  # the input before the first word
 _FLUSH = 1 << 17
@@ -69,39 +72,75 @@ def count_words(docs: DataFrame) -> DataFrame:
 
 
 def tokens_of(text: bytes | None) -> list[bytes]:
+    """A text's tokens; Words.texts() numbers those of a whole column."""
     found = (text or b"").lower().split()
     found.append(END)
     return found
 
 
-class Words(dict):
-    """Numbers of known words by rank; any other word gets -1 - its ending's class and is noted in rare."""
+@cache
+def _endings() -> tuple[np.ndarray, np.ndarray]:
+    """Classes of all words of one byte, and of all pairs of last bytes."""
+    one = np.array([ending(bytes((b,))) for b in range(256)], np.int32)
+    return one, np.array([ending(bytes((a, b))) for a in range(256) for b in range(256)], np.int32)
+
+
+def endings_of(words: pa.Array) -> np.ndarray:
+    """ending() of each word of a string column without nulls and empty words."""
+    if not len(words):
+        return np.zeros(0, np.int32)
+    _, offsets, data = words.buffers()
+    at = np.frombuffer(offsets, np.int32)[words.offset : words.offset + len(words) + 1]
+    data, ends = np.frombuffer(data, np.uint8), at[1:]
+    one, two = _endings()
+    last = data[ends - 1]
+    return np.where(np.diff(at) > 1, two[data[np.maximum(ends - 2, 0)].astype(np.int32) * 256 + last], one[last])
+
+
+class Words:
+    """Numbers of known words by rank; any other word has -1 - its ending's class."""
 
     def __init__(self, words: list[bytes], counts: np.ndarray, shares: np.ndarray):
-        super().__init__({w: k for k, w in enumerate(words)})
-        self.rare: list[bytes] = []
         n = len(words)
+        self.known = pa.array(words, pa.binary()).cast(pa.string())
         rank = np.arange(n)
         ends = np.fromiter(map(ending, words), np.int64, n)
+        self.end = words.index(END) if END in words else -1 - ending(END)
         self.counts = counts
         self.log_count = np.log10(counts + 1.0)
         self.log_share = -np.log10(shares)
         self.kind = np.where(rank < M, rank // S, M // S + ends)  # class
-        self.seen_as = np.where(rank < M, rank, M + ends)  # input
-
-    def __missing__(self, word: bytes) -> int:
-        self.rare.append(word)
-        return -1 - ending(word)
-
-    def numbers(self, tokens: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, tokens), np.int32, len(tokens))
+        # of each number from -ENDINGS on
+        other = np.arange(ENDINGS - 1, -1, -1)
+        self._seen_as = np.concatenate((M + other, np.where(rank < M, rank, M + ends))).astype(np.int16)
+        self._kind = np.concatenate((M // S + other, self.kind)).astype(np.int16)
+
+    def texts(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray]:
+        """Numbers of all texts' tokens and where each text's begin; the words that aren't known and where each text's begin."""
+        split = pc.ascii_split_whitespace(pc.ascii_lower(column.fill_null("")))
+        found, cuts = split.flatten(), split.offsets.to_numpy()
+        some = pc.not_equal(found, "")  # white space at the ends gives empty words
+        kept = some.to_numpy(zero_copy_only=False)
+        if not kept.all():
+            cuts = np.concatenate(([0], np.cumsum(kept)))[cuts]
+            found = found.filter(some)
+        numbers = pc.index_in(found, value_set=self.known).fill_null(-1).to_numpy()
+        other = np.flatnonzero(numbers < 0)
+        rare = found.take(pa.array(other))
+        rare_cuts = np.searchsorted(other, cuts)
+        if len(other):
+            numbers = numbers.copy()
+            numbers[other] = -1 - endings_of(rare)
+        if self.end < 0:  # the end of a text is a word, too
+            ends = pa.array([END.decode()] * len(column), pa.string())
+            at = np.argsort(np.concatenate((np.arange(len(rare)), rare_cuts[1:] - 0.5)), kind="stable")
+            rare, rare_cuts = pa.concat_arrays([rare, ends]).take(pa.array(at)), rare_cuts + np.arange(len(cuts))
+        return np.insert(numbers, cuts[1:], self.end), cuts + np.arange(len(cuts)), rare, rare_cuts
 
     def inputs(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Input and class of each number."""
-        if not len(self.seen_as):
-            return M - 1 - numbers, M // S - 1 - numbers
-        known = np.maximum(numbers, 0)
-        return np.where(numbers >= 0, self.seen_as[known], M - 1 - numbers), np.where(numbers >= 0, self.kind[known], M // S - 1 - numbers)
+        at = numbers + ENDINGS
+        return self._seen_as.take(at), self._kind.take(at)
 
 
 #: The largest output weights and biases: 24 states of at most 1 give logits of at most 24 * 2 + 30.
@@ -127,160 +166,207 @@ def flat(p: dict[str, np.ndarray]) -> np.ndarray:
 
 
 def unflat(x: np.ndarray) -> dict[str, np.ndarray]:
+    """Views of x where it is of single precision."""
     out, at = {}, 0
     for k, s in SHAPES.items():
         n = int(np.prod(s))
-        out[k], at = x[at : at + n].reshape(s).astype(np.float32), at + n
+        out[k], at = x[at : at + n].reshape(s).astype(np.float32, copy=False), at + n
     return out
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    """In place."""
-    np.negative(x, out=x)
-    np.minimum(x, 60, out=x)
+def by_gate(x: np.ndarray) -> np.ndarray:
+    """Rows of three gates as one block for each gate, so that all arithmetic on a gate is on contiguous numbers."""
+    return np.ascontiguousarray(x.reshape(-1, 3, HIDDEN).transpose(1, 0, 2))
+
+
+#: What the gates are multiplied by on the way in: the logistic function of -x is 1 / (1 + exp(x)), tanh that of twice x.
+INTO = np.array([1, -1, -2], np.float32).reshape(3, 1, 1)
+#: The same on the way back, where the candidate's derivative is taken as -2 times what it is.
+BACK = np.array([1, -0.5, -1], np.float32).reshape(3, 1, 1)
+
+
+def _closed(x: np.ndarray) -> np.ndarray:
+    """1 / (1 + exp(x)) in place; where exp(x) is too large for a number, it is 0."""
     np.exp(x, out=x)
     x += 1
     return np.reciprocal(x, out=x)
 
 
-def step(p: dict[str, np.ndarray], gates: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
-    """gates: the inputs' share of all three gates. New state; update, reset, candidate and the state's share of it."""
-    own = h @ p["u"]
-    zr = gates[:, : 2 * HIDDEN] + own[:, : 2 * HIDDEN]
-    _sigmoid(zr)
-    z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
-    inner = own[:, 2 * HIDDEN :]
+def advance(u: np.ndarray, gates: np.ndarray, h: np.ndarray, out: np.ndarray) -> tuple[np.ndarray, ...]:
+    """One step. u, and the inputs' share of the gates, lie by gate and are multiplied by INTO; gates is overwritten. out: the
+    new state. Share of the candidate, reset, candidate, the state's part of it, and the old state without the candidate."""
+    own = np.matmul(h, u)
+    both = gates[:2]
+    both += own[:2]
+    k, r = _closed(both)
+    inner = own[2]
     n = r * inner
-    n += gates[:, 2 * HIDDEN :]
-    n *= 2  # tanh by the logistic function, whose exponential is the faster one
-    _sigmoid(n)
-    n *= 2
+    n += gates[2]
+    _closed(n)
+    n += n
     n -= 1
-    new = h - n
-    new *= z
-    new += n
-    return new, z, r, n, inner
+    apart = h - n
+    np.multiply(k, apart, out=out)
+    np.subtract(h, out, out=out)
+    return k, r, n, inner, apart
 
 
-def _softmax(x: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The targets' log probabilities, and all probabilities times their row's sum, in place. States lie in -1 to 1 and
-    weights within LIMITS, so no exponential overflows."""
-    chosen = x[np.arange(len(x)), target]
-    np.exp(x, out=x)
-    total = x @ np.ones(x.shape[1], x.dtype)
-    return chosen - np.log(total), total
+def step(p: dict[str, np.ndarray], gates: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
+    """One step from plain parameters and gates as rows: the new state, and what advance() gives."""
+    new = np.empty_like(h)
+    return new, *advance(by_gate(p["u"]) * INTO, by_gate(gates) * INTO, h, new)
 
 
-def outputs(p: dict[str, np.ndarray], h: np.ndarray, kind: np.ndarray, number: np.ndarray, grads: dict[str, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray | None]:
-    """Log probability of each target's class and, for a frequent word, of the word in it. With grads: these are added for
-    the sum of losses, and the gradient by h is returned. Works through CHUNK rows at a time."""
-    logs, dh = np.empty(len(h)), None if grads is None else np.empty_like(h)
-    back = p["wc"].T
-    for lo in range(0, len(h), CHUNK):
-        at = slice(lo, lo + CHUNK)
-        x = h[at] @ p["wc"]
+def _softmax(x: np.ndarray, places: np.ndarray, grads: bool) -> np.ndarray:
+    """Log probabilities of the targets, whose places in all of x are given. In place with grads: all probabilities, less 1
+    for the targets. States lie in -1 to 1 and weights within LIMITS, so no exponential overflows."""
+    every = x.reshape(-1)
+    chosen = every.take(places)
+    np.exp(x, out=x)
+    total = x @ np.ones(x.shape[1], x.dtype)
+    if grads:
+        x *= np.reciprocal(total)[:, None]
+        every[places] -= 1
+    return chosen - np.log(total)
+
+
+def outputs(
+    p: dict[str, np.ndarray], h: np.ndarray, kind: np.ndarray, number: np.ndarray, grads: dict[str, np.ndarray] | None = None, valid: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray | None]:
+    """Log probability of each target's class and, for a frequent word, of the word in it; 0 where not valid. With grads:
+    these are added for the sum of losses, and the gradient by h is returned. Rows are put in order of their classes and
+    CHUNK of them are worked on at a time."""
+    kind = kind.astype(np.int16, copy=False)
+    order = np.argsort(kind if valid is None else np.where(valid, kind, np.int16(_CLASSES)), kind="stable")
+    if valid is not None:
+        order = order[: np.count_nonzero(valid)]
+    rows = len(order)
+    place = np.full(len(h), rows)
+    place[order] = np.arange(rows)
+    h, kind = h.take(order, 0), kind.take(order)
+    cuts = np.searchsorted(kind, np.arange(M // S + 1)).tolist()
+    target = number.take(order[: cuts[-1]]).astype(np.intp) % S
+    logs, dh = np.zeros(rows + 1), None if grads is None else np.zeros((rows + 1, HIDDEN), h.dtype)
+    back, ones = np.ascontiguousarray(p["wc"].T), np.ones(CHUNK, h.dtype)
+    begin, space = np.arange(CHUNK) * _CLASSES, np.empty((min(rows, CHUNK), _CLASSES), h.dtype)
+    for lo in range(0, rows, CHUNK):
+        at = slice(lo, min(rows, lo + CHUNK))
+        part = h[at]
+        x = np.matmul(part, p["wc"], out=space[: len(part)])
         x += p["bc"]
-        logs[at], total = _softmax(x, kind[at])
+        logs[at] = _softmax(x, begin[: len(x)] + kind[at], grads is not None)
         if grads is not None:
-            x /= total[:, None]
-            x[np.arange(len(x)), kind[at]] -= 1
-            grads["wc"] += h[at].T @ x
-            grads["bc"] += np.ones(len(x), x.dtype) @ x
+            grads["wc"] += part.T @ x
+            grads["bc"] += ones[: len(x)] @ x
             np.matmul(x, back, out=dh[at])
-    named = np.flatnonzero(kind < M // S)
-    order = named[np.argsort(kind[named].astype(np.int16), kind="stable")]
-    part, target = h.take(order, 0), number.take(order) % S
-    cuts = np.searchsorted(kind.take(order), np.arange(M // S + 1)).tolist()
-    inner, more = np.empty(len(order)), None if grads is None else np.empty_like(part)
-    for c, (s, e) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-        own = slice(c * S, (c + 1) * S)
-        for lo in range(s, e, CHUNK):
-            at = slice(lo, min(e, lo + CHUNK))
-            x = part[at] @ p["ww"][own].T
-            x += p["bw"][own]
-            inner[at], total = _softmax(x, target[at])
-            if grads is not None:
-                x /= total[:, None]
-                x[np.arange(len(x)), target[at]] -= 1
-                grads["ww"][own] += x.T @ part[at]
-                grads["bw"][own] += x.sum(0)
-                np.matmul(x, p["ww"][own], out=more[at])
-    logs[order] += inner
-    if grads is not None:
-        dh[order] += more
-    return logs, dh
+    # words of a class in blocks of equal height; a class's last block is filled up with a row that doesn't count
+    tall = next((t for t in BLOCKS if t * M // S > cuts[-1]), BLOCKS[-1])
+    sizes = np.diff(cuts)
+    blocks = -(-sizes // tall)
+    classes = np.repeat(np.arange(M // S), blocks)
+    place_in = (np.arange(len(classes)) - np.repeat(np.cumsum(blocks) - blocks, blocks))[:, None] * tall + np.arange(tall)
+    real = place_in < sizes[classes][:, None]
+    rows_of = np.where(real, place_in, 0) + np.asarray(cuts)[classes][:, None]
+    some, lo = CHUNK // tall, 0
+    weights, bias, begin = p["ww"].reshape(-1, S, HIDDEN), p["bw"].reshape(-1, 1, S), np.arange(CHUNK) * S
+    for b in range(0, len(classes), some):
+        of, part_of = classes[b : b + some], rows_of[b : b + some]
+        used = np.flatnonzero(real[b : b + some])
+        at = slice(lo, lo + len(used))
+        lo += len(used)
+        part, own = h.take(part_of, 0), weights.take(of, 0)
+        x = part @ own.transpose(0, 2, 1)
+        x += bias.take(of, 0)
+        flat_x = x.reshape(-1, S)
+        logs[at] += _softmax(flat_x, begin[: len(flat_x)] + target.take(part_of).ravel(), grads is not None).take(used)
+        if grads is not None:
+            flat_x[np.flatnonzero(~real[b : b + some])] = 0
+            first = np.flatnonzero(np.diff(of, prepend=-1))
+            grads["ww"].reshape(-1, S, HIDDEN)[of[first]] += np.add.reduceat(x.transpose(0, 2, 1) @ part, first)
+            grads["bw"].reshape(-1, S)[of[first]] += np.add.reduceat(ones[:tall] @ x, first)
+            dh[at] += (x @ own).reshape(-1, HIDDEN).take(used, 0)
+    return logs.take(place), None if grads is None else dh.take(place, 0)
 
 
 def backpropagate(p: dict[str, np.ndarray], seen: np.ndarray, kind: np.ndarray, number: np.ndarray, valid: np.ndarray, h: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray, float]:
     """One window: arrays are steps x rows. Gradients of the mean loss, the state after it, the summed log probability."""
     steps, rows = seen.shape
-    grads = {k: np.zeros(s, np.float32) for k, s in SHAPES.items()}
-    table = p["embed"] @ p["wx"] + p["b"]
+    table, u = by_gate(p["embed"] @ p["wx"] + p["b"]) * INTO, by_gate(p["u"]) * INTO
+    grads = {k: np.zeros(s, table.dtype) for k, s in SHAPES.items()}
     states = np.empty((steps + 1, rows, HIDDEN), table.dtype)
     states[0], inside = h, []
-    for t in range(steps):
-        states[t + 1], *parts = step(p, table.take(seen[t], 0), states[t])
-        inside.append(parts)
-    at = np.nonzero(valid.ravel())[0]
-    flat_states = states[1:].reshape(-1, HIDDEN)
-    logs, dh = outputs(p, flat_states.take(at, 0), kind.ravel().take(at), number.ravel().take(at), grads)
-    total = max(1, len(logs))
-    from_out = np.zeros_like(flat_states)
-    from_out[at] = dh
-    from_out *= 1 / total
+    with np.errstate(over="ignore"):
+        for t in range(steps):
+            inside.append(advance(u, table.take(seen[t], 1), states[t], states[t + 1]))
+    logs, from_out = outputs(p, states[1:].reshape(-1, HIDDEN), kind.ravel(), number.ravel(), grads, valid.ravel())
     from_out = from_out.reshape(steps, rows, HIDDEN)
-    for k in ("wc", "bc", "ww", "bw"):
-        grads[k] /= total
     back = np.zeros((rows, HIDDEN), table.dtype)
-    # of the inputs' gates, and of the state's, whose candidate goes through the reset gate
-    gates, own = (np.empty((steps, rows, 3 * HIDDEN), table.dtype) for _ in range(2))
-    ut = np.ascontiguousarray(p["u"].T)
+    # of the inputs' candidate; of all gates; of the state's candidate, which goes through the reset gate
+    found = np.empty((4, steps, rows, HIDDEN), table.dtype)
+    ut = (by_gate(p["u"]) * BACK).transpose(0, 2, 1).copy()
+    own = np.empty((3, rows, HIDDEN), table.dtype)
     for t in range(steps - 1, -1, -1):
-        z, r, n, inner = inside[t]
+        k, r, n, inner, apart = inside[t]
+        dn, dz, dr, dinner = found[:, t]
         back += from_out[t]
-        open_ = 1 - z
-        dz = states[t] - n
-        dz *= back
-        dz *= z
-        dz *= open_
-        dn = open_
-        dn *= back
-        dn *= 1 - n * n
-        dr = dn * inner
-        dr *= r
-        dr *= 1 - r
-        g, o = gates[t], own[t]
-        g[:, :HIDDEN], g[:, HIDDEN : 2 * HIDDEN], g[:, 2 * HIDDEN :] = dz, dr, dn
-        o[:, : 2 * HIDDEN] = g[:, : 2 * HIDDEN]
-        np.multiply(dn, r, out=o[:, 2 * HIDDEN :])
-        back *= z
-        back += o @ ut
-    gates, own, inputs = gates.reshape(-1, 3 * HIDDEN), own.reshape(-1, 3 * HIDDEN), seen.ravel()
-    grads["u"] += states[:-1].reshape(-1, HIDDEN).T @ own
-    grads["wx"] = p["embed"].take(inputs, 0).T @ gates
-    grads["b"] = np.ones(len(gates), gates.dtype) @ gates
+        open_ = back * k
+        back -= open_
+        np.multiply(back, k, out=dz)
+        dz *= apart
+        n *= n
+        n -= 1
+        np.multiply(open_, n, out=dn)
+        np.multiply(dn, r, out=dinner)
+        inner *= dinner
+        np.multiply(inner, r, out=dr)
+        dr -= inner
+        np.matmul(found[1:, t], ut, out=own)
+        for x in own:
+            back += x
+    found, inputs = found.reshape(4, -1, HIDDEN), seen.ravel()
+    before, embedded = states[:-1].reshape(-1, HIDDEN).T, p["embed"].take(inputs, 0).T
+    side = np.ones(len(inputs), table.dtype)
+    by_input = np.zeros((len(inputs), EMBED), table.dtype)
+    for k, (of_input, of_state) in enumerate(((1, 1), (2, 2), (0, 3))):
+        at, factor = slice(k * HIDDEN, (k + 1) * HIDDEN), float(BACK[k, 0, 0])
+        grads["u"][:, at] = before @ found[of_state] * factor
+        grads["wx"][:, at] = embedded @ found[of_input] * factor
+        grads["b"][at] = side @ found[of_input] * factor
+        by_input += found[of_input] @ (p["wx"][:, at].T * factor)
     order = np.argsort(inputs.astype(np.int16), kind="stable")
-    found, first = np.unique(inputs[order], return_index=True)
-    grads["embed"][found] = np.add.reduceat((gates @ p["wx"].T).take(order, 0), first)
+    ordered = inputs.take(order)
+    first = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
+    grads["embed"][ordered.take(first)] = np.add.reduceat(by_input.take(order, 0), first)
+    total = max(1, int(np.count_nonzero(valid)))
+    for g in grads.values():
+        g /= total
     return grads, states[-1].copy(), float(logs.sum())
 
 
 class Adam:
     def __init__(self, p: dict[str, np.ndarray], rate: float):
-        self.p, self.rate, self.t = p, rate, 0
-        self.m, self.v = ({k: np.zeros_like(x) for k, x in p.items()} for _ in range(2))
+        self.x, self.rate, self.t = flat(p), rate, 0
+        self.p = unflat(self.x)
+        self.m, self.v = np.zeros_like(self.x), np.zeros_like(self.x)
 
     def update(self, grads: dict[str, np.ndarray]) -> None:
         self.t += 1
-        norm = np.sqrt(sum(float((g * g).sum()) for g in grads.values()))
-        rate = self.rate * np.sqrt(1 - 0.99**self.t) / (1 - 0.9**self.t)
-        for k, g in grads.items():
-            g = g if norm <= 1 else g / norm
-            self.m[k] += 0.1 * (g - self.m[k])
-            self.v[k] += 0.01 * (g * g - self.v[k])
-            self.p[k] -= (rate * self.m[k] / (np.sqrt(self.v[k]) + 1e-6)).astype(np.float32)
-            if k in LIMITS:
-                np.clip(self.p[k], -LIMITS[k], LIMITS[k], out=self.p[k])
+        g = flat(grads)
+        norm = float(np.sqrt(g @ g))
+        if norm > 1:
+            g /= norm
+        square = g * g
+        for old, new, part in ((self.m, g, 0.1), (self.v, square, 0.01)):
+            new -= old
+            new *= part
+            old += new
+        by = np.sqrt(self.v, out=square)
+        by += 1e-6
+        np.divide(self.m, by, out=by)
+        by *= self.rate * float(np.sqrt(1 - 0.99**self.t)) / (1 - 0.9**self.t)
+        self.x -= by
+        for k, most in LIMITS.items():
+            np.clip(self.p[k], -most, most, out=self.p[k])
 
 
 class Lanes:
@@ -311,13 +397,17 @@ class Lanes:
         left = self.size - self.at
         long = min(STEPS, int(left.max()))
         number = np.full((len(self.docs), long + 1), -1, np.int32)
-        for k, (d, at) in enumerate(zip(self.docs, self.at.tolist(), strict=True)):
-            part = d[max(0, at - 1) : at + long]
-            lo = at == 0
-            number[k, lo : lo + len(part)] = part
+        for row, d, at in zip(number, self.docs, self.at.tolist(), strict=True):
+            if at:
+                part = d[at - 1 : at + long]
+                row[: len(part)] = part
+            else:
+                part = d[:long]
+                row[1 : 1 + len(part)] = part
+        number = np.ascontiguousarray(number.T)
         seen, kind = own.inputs(number)
-        seen[self.at == 0, 0] = _START
-        return seen[:, :long].T, kind[:, 1:].T, number[:, 1:].T, (np.arange(long)[None, :] < left[:, None]).T
+        seen[0, self.at == 0] = _START
+        return seen[:-1].astype(np.intp), kind[1:], number[1:], np.arange(long)[:, None] < left
 
     def moved(self, state: np.ndarray) -> np.ndarray:
         """Goes on by a window; returns which lanes have ended (these are gone)."""
@@ -345,9 +435,9 @@ def train_round(docs: DataFrame, words, start, number_of_round: int) -> np.ndarr
             lanes.moved(state)
 
         for b in pieces(batches):
-            for t in utf8(b.column(0)):
-                lanes.add(own.numbers(tokens_of(t)))
-                own.rare.clear()
+            numbers, cuts, _, _ = own.texts(b.column(0))
+            for lo, hi in pairwise(cuts.tolist()):
+                lanes.add(numbers[lo:hi].copy())  # a document of its own, which keeps no others
                 while len(lanes) >= min(BATCH, FIRST + model.t):
                     learn()
         while len(lanes):
@@ -367,7 +457,7 @@ def train_round(docs: DataFrame, words, start, number_of_round: int) -> np.ndarr
 def scored(p: dict[str, np.ndarray], own: Words, docs: Iterator[tuple[object, np.ndarray]], group: int = 0) -> Iterator[tuple[object, float]]:
     """For each (key, numbers of a whole document) the key and the log10 probability by classes and frequent words, in the
     order in which documents end."""
-    table = p["embed"] @ p["wx"] + p["b"]
+    table, u = by_gate(p["embed"] @ p["wx"] + p["b"]) * INTO, by_gate(p["u"]) * INTO
     lanes, keys, total, group = Lanes(), [], np.zeros(0), group or GROUP
 
     def go() -> Iterator[tuple[object, float]]:
@@ -375,11 +465,12 @@ def scored(p: dict[str, np.ndarray], own: Words, docs: Iterator[tuple[object, np
         seen, kind, number, valid = lanes.window(own)
         total = np.concatenate((total, np.zeros(len(keys) - len(total))))
         h, states = lanes.state, np.empty((*seen.shape, HIDDEN), np.float32)
-        for t in range(len(seen)):
-            h = states[t] = step(p, table.take(seen[t], 0), h)[0]
-        at = np.nonzero(valid.ravel())[0]
-        logs, _ = outputs(p, states.reshape(-1, HIDDEN).take(at, 0), kind.ravel().take(at), number.ravel().take(at))
-        total += np.bincount(at % len(keys), logs, len(keys))
+        with np.errstate(over="ignore"):
+            for t in range(len(seen)):
+                advance(u, table.take(seen[t], 1), h, states[t])
+                h = states[t]
+        logs, _ = outputs(p, states.reshape(-1, HIDDEN), kind.ravel(), number.ravel(), valid=valid.ravel())
+        total += logs.reshape(seen.shape).sum(0)
         ended = lanes.moved(h)
         for k in ended.tolist():
             yield keys[k], float(total[k]) / np.log(10)
@@ -448,16 +539,18 @@ def score_documents(docs: DataFrame, fold: int = 7, held: int = 2, epochs: int =
         def numbered() -> Iterator[tuple[list, np.ndarray]]:
             for b in pieces(batches):
                 id_type[:] = [b.schema.field(0).type]
-                for key, held_out, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), utf8(b.column(2)), strict=True):
-                    n = own.numbers(tokens_of(t))
+                numbers, cuts, rare, rare_cuts = own.texts(b.column(2))
+                rare = utf8(rare)
+                places = zip(pairwise(cuts.tolist()), pairwise(rare_cuts.tolist()), strict=True)
+                for key, held_out, ((lo, hi), (s, e)) in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), places, strict=True):
+                    n = numbers[lo:hi].copy()
                     hit = n[n >= 0]
                     tail = hit[hit >= M]
                     rest = float((own.log_count[tail] + own.log_share[own.kind[tail] - M // S]).sum()) if len(tail) else 0.0
                     if len(hit) < len(n):
                         rest += float(own.log_share[-1 - n[n < 0]].sum())
                     base = float(own.log_count[hit].sum()) if len(hit) else 0.0
-                    yield [key, held_out, len(n), len(hit), base, rest, list(own.rare)], n
-                    own.rare.clear()
+                    yield [key, held_out, len(n), len(hit), base, rest, rare[s:e]], n
 
         def batch(done: list[list]) -> pa.RecordBatch:
             kinds = (id_type[0], pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()))

@@ -161,3 +161,43 @@ def test_every_token_trains(spark, monkeypatch):
     R.train_round(Here(docs), Value(words), Value(R.flat(R.initial(words))), 0)
     assert sum(n for n, _ in seen) == sum(len(R.tokens_of(t and t.encode())) for t in texts)
     assert all(all(same) for _, same in seen)
+
+
+def test_columns_are_numbered_like_texts():
+    """Whole columns at once: white space at the ends, words of one byte and of many, other scripts, rare ones, no end known."""
+    texts = [None, "", " \t", "  A b\x0bB ", "é a\x85b É W7 w7", "w3 unseen w999999 x Ж unseen", "Q" * 70_000, "w5"]
+    for known in ([R.END, b"a", b"w5", b"w7", *[f"w{k}".encode() for k in range(10, R.M + 300)]], [b"a", b"w3"], []):
+        words = R.Words(known, np.ones(len(known)), np.ones(R.ENDINGS))
+        numbers, cuts, rare, rare_cuts = words.texts(pa.array(["cut off", *texts]).slice(1))
+        rank = {w: k for k, w in enumerate(known)}
+        for k, t in enumerate(texts):
+            own = R.tokens_of(t and t.encode())
+            assert numbers[cuts[k] : cuts[k + 1]].tolist() == [rank.get(w, -1 - R.ending(w)) for w in own]
+            assert [w.encode() for w in rare[rare_cuts[k] : rare_cuts[k + 1]].to_pylist()] == [w for w in own if w not in rank]
+
+
+def test_outputs_of_many_rows():
+    """Rows in blocks by class, some not valid: the same as one softmax after the other, and gradients of the sum of losses."""
+    own, words, *_ = small()
+    rng = np.random.default_rng(4)
+    p = {k: (v + rng.standard_normal(v.shape) * 0.2).astype(np.float64) for k, v in R.initial(own).items()}
+    for n in (1, 300, 7000):
+        number = np.where(rng.random(n) < 0.4, rng.integers(0, 5, n), rng.integers(-R.ENDINGS, len(words), n))
+        h, valid, kind = rng.standard_normal((n, R.HIDDEN)), rng.random(n) < 0.8, own.inputs(number)[1]
+        want, by = np.zeros(n), np.zeros_like(h)
+        grads, slow = ({k: np.zeros(s) for k, s in R.SHAPES.items()} for _ in range(2))
+        for i in np.flatnonzero(valid):
+            for weights, bias, target in [("wc", "bc", kind[i])] + [("ww", "bw", number[i] % R.S)] * bool(kind[i] < R.M // R.S):
+                at = slice(kind[i] * R.S, (kind[i] + 1) * R.S) if weights == "ww" else slice(None)
+                w = p[weights].T if weights == "wc" else p[weights][at]
+                x = np.exp(w @ h[i] + p[bias][at])
+                x /= x.sum()
+                want[i] += math.log(x[target])
+                x[target] -= 1
+                by[i] += x @ w
+                slow[bias][at] += x
+                part = np.outer(x, h[i])
+                slow[weights][at] += part.T if weights == "wc" else part
+        logs, dh = R.outputs(p, h, kind, number, grads, valid)
+        assert np.allclose(logs, want) and np.allclose(dh, by) and all(np.allclose(grads[k], slow[k]) for k in grads)
+        assert np.allclose(R.outputs(p, h, kind, number, None, valid)[0], want)
